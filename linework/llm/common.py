@@ -16,6 +16,7 @@ U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows in an Arrow batch; documents may be very long, so the default of 10,000 rows is too much.
 BATCH_ROWS = 1000
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -41,7 +42,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     there, and a lost executor costs no more than the tasks it was running."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/linework/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")  # shuffle files go when the table is written, not when the driver collects its garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._linework_path = path
     return out
@@ -122,3 +128,54 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
 
 def hex_sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, for which the function that make() returns says true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(step(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """doc_id, text, y, draw of at most ``rows`` labelled documents whose crc32(doc_id as text) mod
+    ``folds`` is not ``held_out``, the least by a hash of their id, so a larger corpus gives a
+    sample of the same size. The chosen ids are bounded by ``rows`` and may be broadcast; texts are
+    not shuffled. The sample is a table in the shared folder; draw is a hash to divide it by."""
+    from pyspark.sql import functions as F
+
+    usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % folds != held_out)
+    chosen = usable.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id", "y").limit(rows)
+    return cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+
+
+def fold_of(doc_ids: list, folds: int, held_out: int) -> list[bool]:
+    """Whether crc32(doc_id as text) mod ``folds`` is ``held_out``; false without an id."""
+    import zlib
+
+    return [i is not None and zlib.crc32(str(i).encode()) % folds == held_out for i in doc_ids]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
+    """Weights, the constant's last, of a ridge-penalised logistic regression by Newton steps."""
+    z = np.c_[x, np.ones(len(x))]
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-3
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
