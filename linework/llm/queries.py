@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_secret_scan": ("secret_scan", "op1"),
+    "op2_chat_format": ("chat_format", "op2"),
+    "op3_toxicity": ("toxicity", "op3"),
+    "op4_quality_discriminant": ("quality", "op4"),
+    "op5_imatch": ("imatch", "op5"),
     "op6_best_fit_packing": ("packing", "op6"),
     "op8_bpe_rank_array": ("bpe", "op8"),
     "op10_ngram_jaccard_join": ("jaccard_join", "op10"),
