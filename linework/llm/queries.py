@@ -15,6 +15,7 @@ MODULES = {
     "op5_imatch": ("imatch", "op5"),
     "op6_best_fit_packing": ("packing", "op6"),
     "op8_bpe_rank_array": ("bpe", "op8"),
+    "op9_warc_index_merge": ("warc", "op9"),
     "op10_ngram_jaccard_join": ("jaccard_join", "op10"),
 }
 
