@@ -3,15 +3,15 @@
 The lexicon holds the terms whose inverse document frequency lies in a band: neither so frequent that
 they tell nothing nor so rare that a slip of the pen changes them. A document's distinct terms of
 the lexicon, sorted, are hashed once for each of several randomised subsets of the lexicon. The subsets
-keep from a sixteenth down to a thousandth of the terms, so that some of them hold but one or two
-terms of a document and survive an edit, whether it is long or short.
+keep from all down to one in thousands of the terms, so that some of them hold but one or two terms
+of a document and survive an edit, whether it is long or short.
 
 The lexicon is at most (mean distinct terms of a document) / e^-IDF_HIGH terms, at any number of documents,
 since each takes that share of the documents; so it may be broadcast.
 
 Defined cases: a null or empty text has no terms and the fingerprint of the empty set; a text without terms of
 the lexicon is hashed by all its terms. Two fingerprints without any filled subset have likeness 1.
-Documents follow by falling doc_id (null last, equal ones by text); the next of the last is the first, of a single one
+Documents follow by falling doc_id (null last, equal ones in an order that depends on nothing but their texts); the next of the last is the first, of a single one
 itself. Repeated rows have results of their own; an empty table gives none; other columns are left alone.
 """
 
@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +30,11 @@ from .common import U, cut, hash_words, mix64, table, text_bytes, words
 #: The band, in natural logarithms of documents over document frequency.
 IDF_LOW, IDF_HIGH = 1.6, 7.6
 #: Of the terms, subsets keep one in so many; so many subsets of each.
-KEEP = (16, 64, 256, 1024)
+KEEP = (64, 256, 1024, 4096)
 EACH = 16
-SUBSETS = [k for k in KEEP for _ in range(EACH)]
+SUBSETS = [1, *(k for k in KEEP for _ in range(EACH))][:64]
 SEEDS = mix64(np.arange(1, len(SUBSETS) + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-LIMITS = np.array([2**32 // k for k in SUBSETS], np.uint32)
+LIMITS = np.array([2**32 // k for k in SUBSETS], U)
 
 
 def terms(raw: bytes) -> np.ndarray:
@@ -84,7 +85,7 @@ class Fingerprints:
         out = np.empty((len(t), len(SUBSETS)), np.uint32)
         for k, seed in enumerate(SEEDS):
             drawn = mix64(t ^ seed)
-            out[:, k] = np.where(drawn.astype(np.uint32) < LIMITS[k], (drawn >> U(32)).astype(np.uint32) | np.uint32(1), 0)
+            out[:, k] = np.where((drawn & U(2**32 - 1)) < LIMITS[k], (drawn >> U(32)).astype(np.uint32) | np.uint32(1), 0)
         return out
 
     def of(self, raw: bytes) -> np.ndarray:
@@ -106,8 +107,8 @@ class Fingerprints:
         return np.where(total > 0, np.maximum(mix64(total) >> U(48), U(1)), U(0)).astype(np.uint16)
 
 
-def written(f: np.ndarray) -> str:
-    return f.astype(">u2").tobytes().hex()
+def written(f: np.ndarray) -> bytes:
+    return f.astype(">u2").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -123,18 +124,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-OPEN = COLUMNS + ", part int, place string, text string"
+#: As they are stored; digests and fingerprints become hex at the end.
+COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+OPEN = COLUMNS + ", part int, place string, text binary"
 
 
 def _row(made: Fingerprints, doc_id, text: str, own: np.ndarray, following: str, its: np.ndarray) -> tuple:
     e = edited(text, following).encode()
     other = made.of(e)
-    return doc_id, len(text), hashlib.sha256(e).hexdigest(), written(own), written(other), likeness(own, other), likeness(own, its)
+    return doc_id, len(text), hashlib.sha256(e).digest(), written(own), written(other), likeness(own, other), likeness(own, its)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
@@ -147,38 +149,51 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(lexicon(docs))
     order = [F.col("doc_id").desc_nulls_last()]
 
+    def shut(batches):
+        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packer.compress(raw) for raw in text_bytes(batch)], pa.binary())], names=["doc_id", "text"])
+
     def run(batches):
         from pyspark import TaskContext
 
-        made, part = Fingerprints(shared.value), TaskContext.get().partitionId()
+        made, part, opener = Fingerprints(shared.value), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         before = None
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = made.of(text.encode())
+            for doc_id, shut_text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = opener.decompress(shut_text)
+                own, text = made.of(raw), raw.decode()
                 if before is None:
-                    out.append((doc_id, *[None] * 6, part, "first", text))
+                    out.append((doc_id, *[None] * 6, part, "first", shut_text))
                 else:
-                    out.append((*_row(made, *before, text, own), part, None, None))
-                before = (doc_id, text, own)
+                    out.append((*_row(made, *before[:3], text, own), part, None, None))
+                before = (doc_id, text, own, shut_text)
             yield _batch(out, OPEN)
         if before is not None:
-            yield _batch([(before[0], *[None] * 6, part, "last", before[1])], OPEN)
+            yield _batch([(before[0], *[None] * 6, part, "last", before[3])], OPEN)
 
-    rows = cut(docs.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, OPEN), "streams")
+    # texts travel compressed; equal ids come in the order of their compressed texts
+    dealt = docs.mapInArrow(shut, "doc_id long, text binary").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    rows = cut(dealt.mapInArrow(run, OPEN), "streams")
     ends = rows.where("place is not null").select("doc_id", "part", "place", "text")
     parts = sorted(r.part for r in ends.where("place = 'first'").select("part").collect())  # one for each range
     follows = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next_part int")
     pairs = ends.where("place = 'last'").join(follows, "part").join(ends.where("place = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following")), "next_part")
 
     def close(batches):
-        made = Fingerprints(shared.value)
+        made, opener = Fingerprints(shared.value), zstandard.ZstdDecompressor()
         for batch in batches:
-            if batch.num_rows:
-                yield _batch([_row(made, i, t, made.of(t.encode()), f, made.of(f.encode())) for i, t, f in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "following")), strict=True)], COLUMNS)
+            out = []
+            for i, *both in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "following")), strict=True):
+                t, f = map(opener.decompress, both)
+                out.append(_row(made, i, t.decode(), made.of(t), f.decode(), made.of(f)))
+            if out:
+                yield _batch(out, COLUMNS)
 
     closed = pairs.select("doc_id", "text", "following").mapInArrow(close, COLUMNS)
-    return rows.where("place is null").select([x.split()[0] for x in COLUMNS.split(", ")]).unionByName(closed)
+    whole = rows.where("place is null").select([x.split()[0] for x in COLUMNS.split(", ")]).unionByName(closed)
+    return whole.withColumns({k: F.lower(F.hex(k)) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
