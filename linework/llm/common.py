@@ -56,7 +56,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_linework_path", None)
+        path = getattr(df, "_linework_path", None)  # frames derived from one have none and stay
         if path:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
