@@ -14,6 +14,7 @@ MODULES = {
     "op4_quality_discriminant": ("quality", "op4"),
     "op5_imatch": ("imatch", "op5"),
     "op6_best_fit_packing": ("packing", "op6"),
+    "op7_media_copies": ("media", "op7"),
     "op8_bpe_rank_array": ("bpe", "op8"),
     "op9_warc_index_merge": ("warc", "op9"),
     "op10_ngram_jaccard_join": ("jaccard_join", "op10"),
