@@ -80,6 +80,16 @@ def test_ids_are_those_of_the_library(library):
         assert coder.decode(ids).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)
 
 
+def test_faster_library_gives_the_same_ids(library):
+    coder = packing.LibraryCoder(*bpe.tokenizer_file())
+    for point in [*range(0x3000), *range(0x3000, 0xD800, 41), *range(0xE000, 0x30000, 61)]:
+        c = chr(point)
+        text = f"a{c}b 1{c}2  {c} x{c}{c}\n{c}"
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, hex(point)
+    for text in ("", "<|endoftext|>a<|endoftext|> <|endoftext|>", "x" * 5000, "the" * 900, " " * 300):
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_store_that_begins_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
     coder = bpe.RankBPE(*bpe.tokenizer_file())
