@@ -1 +1,216 @@
+"""Queries that need whole images or paths: arrays in Arrow batches. Some have SQL all the same; the rest are held against
+fixtures in the tests."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import gate, kernels, styles
+from ..sources.derived import RASTER_SQL, color_raster, raster
+from ..sources.images import from_pixels, to_pixels
+from . import engine
+
 QUERIES = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def each_image(images: DataFrame, schema: str, f) -> DataFrame:
+    """Rows that f(image_id, gray array) gives for each gray image."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = list(f(r["image_id"], np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return images.select("image_id", "height", "width", "data").mapInArrow(run, schema)
+
+
+def _images(spark, d) -> DataFrame:
+    return from_pixels(raster(spark, d))
+
+
+def _pixel_rows(image_id, a):
+    y, x = np.indices(a.shape)
+    return zip([image_id] * a.size, y.ravel().tolist(), x.ravel().tolist(), a.ravel().tolist(), strict=True)
+
+
+@query(f"WITH {RASTER_SQL} SELECT image_id::VARCHAR AS image_id, y, x, v FROM raster")
+def image_round_trip(spark, d):
+    """Pixels packed into images and taken apart again."""
+    return to_pixels(_images(spark, d))
+
+
+@query(f"""WITH {RASTER_SQL}, off AS (SELECT a - 5 AS dy, b - 5 AS dx FROM (SELECT unnest(range(11)) AS a), (SELECT unnest(range(11)) AS b)),
+  cand AS (SELECT image_id, (y + dy)::INT AS y, (x + dx)::INT AS x, dy * dy + dx * dx AS q FROM raster, off WHERE v < 48 AND dy * dy + dx * dx <= 25),
+  best AS (SELECT image_id, y, x, min(q) AS q FROM cand GROUP BY 1, 2, 3)
+  SELECT r.image_id::VARCHAR AS image_id, r.y, r.x, round(sqrt(q::DOUBLE), 6) AS distance FROM raster r JOIN best USING (image_id, y, x)""")
+def distance_transform(spark, d):
+    """Exact distance of paper to ink up to 5 pixels."""
+
+    def f(image_id, a):
+        dist = kernels.distance(a >= 48)
+        return (r for r in _pixel_rows(image_id, np.round(dist, 6)) if r[3] <= 5)
+
+    return each_image(_images(spark, d), "image_id string, y int, x int, distance double", f)
+
+
+@query(f"""WITH RECURSIVE {RASTER_SQL}, ink AS (SELECT image_id, y, x, y * 64 + x AS id FROM raster WHERE v < 24),
+  near AS (SELECT a.image_id, a.id AS a, b.id AS b FROM ink a JOIN ink b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+  reach AS (SELECT image_id, id AS a, id AS b FROM ink UNION SELECT r.image_id, r.a, n.b FROM reach r JOIN near n ON r.image_id = n.image_id AND r.b = n.a),
+  comp AS (SELECT image_id, a, min(b) AS root FROM reach GROUP BY 1, 2), size AS (SELECT image_id, root, count(*) AS n FROM comp GROUP BY 1, 2)
+  SELECT image_id::VARCHAR AS image_id, count(*) AS n_components, max(n) AS largest, sum(n)::BIGINT AS ink FROM size GROUP BY 1""")
+def connected_components(spark, d):
+    """Components of dark pixels over eight neighbours."""
+
+    def f(image_id, a):
+        labels, n = kernels.components(a < 24)
+        size = np.bincount(labels.ravel(), minlength=n + 1)[1:]
+        return [(image_id, n, int(size.max()), int(size.sum()))] if n else []
+
+    return each_image(_images(spark, d), "image_id string, n_components long, largest long, ink long", f)
+
+
+@query()
+def hysteresis(spark, d):
+    """Pixels of weak components with a strong pixel."""
+    return each_image(_images(spark, d), "image_id string, n_strong long, n_weak long, n_kept long", lambda i, a: [(i, int((a <= 30).sum()), int((a <= 70).sum()), int(kernels.joined(a <= 30, a <= 70).sum()))])
+
+
+@query()
+def enclosed_regions(spark, d):
+    """Regions of paper that ink shuts in, and their areas."""
+
+    def f(i, a):
+        areas = gate._areas(a < 90)
+        return [(i, len(areas), int(areas.sum()), float(np.percentile(areas, 5)) if len(areas) else None)]
+
+    return each_image(_images(spark, d), "image_id string, n_regions long, area long, area_p5 double", f)
+
+
+@query()
+def thinning(spark, d):
+    """Pixels of the ink, its skeleton, and the skeleton without stairs and short branches."""
+
+    def f(i, a):
+        ink = a < 80
+        thin = kernels.thin(ink)
+        lean = kernels.without_stairs(thin)
+        return [(i, int(ink.sum()), int(thin.sum()), int(lean.sum()), int(kernels.prune_branches(lean, 6).sum()))]
+
+    return each_image(_images(spark, d), "image_id string, n_ink long, n_thin long, n_lean long, n_pruned long", f)
+
+
+@query()
+def traced_paths(spark, d):
+    """Centre lines of the ink as paths, simplified."""
+
+    def f(i, a):
+        for n, (p, closed) in enumerate(kernels.trace(a < 60)):
+            yield i, n, len(p), len(kernels.simplify(p, 1.2 / max(a.shape), closed)), bool(closed), round(kernels.path_length(p, closed), 6)
+
+    return each_image(_images(spark, d), "image_id string, path_id long, n_points long, n_simplified long, closed boolean, length double", f)
+
+
+@query()
+def line_metrics(spark, d):
+    """Ink share, components, median extent, noise share."""
+
+    def f(i, a):
+        m = gate.line_metrics(a)
+        return [(i, m["ink_coverage"], m["component_count"], m["median_stroke_length"], m["noise_fraction"])]
+
+    return each_image(_images(spark, d), "image_id string, ink_coverage double, component_count long, median_stroke_length double, noise_fraction double", f)
+
+
+@query()
+def boundary_scores(spark, d):
+    """Each image against its mirror image."""
+
+    def f(i, a):
+        m = gate.compare_boundaries(a, a[:, ::-1], 2, 60)
+        return [(i, m["precision"], m["recall"], m["f1"], m["f1_normalized"], m["ink_admissible"])]
+
+    return each_image(_images(spark, d), 'image_id string, precision double, recall double, f1 double, f1_normalized double, ink_admissible boolean', f)
+
+
+@query()
+def raster_validation(spark, d):
+    """The whole quality gate of the derived rasters on a small page."""
+    page = gate.Page(size=(60.0, 80.0), margin_mm=5.0, dpi=60)
+
+    def f(i, a):
+        r = gate.validate(styles.Raster(a, a.shape[1] / a.shape[0]), page)
+        return [(i, r.ink_coverage, r.enclosed_regions, r.min_region_area_mm2, r.region_area_mm2_p5, r.antialiased_fraction, r.passed)]
+
+    return each_image(_images(spark, d), "image_id string, ink_coverage double, enclosed_regions long, min_region_area_mm2 double, region_area_mm2_p5 double, antialiased_fraction double, passed boolean", f)
+
+
+@query()
+def smoothing(spark, d):
+    """Mean absolute change by each smoother."""
+
+    def f(i, a):
+        g = a.astype(float)
+        b3 = np.dstack([g, g, g])
+        yield i, *(round(float(np.abs(s - g).mean()), 6) for s in (kernels.gaussian(g, 1.5), kernels.bilateral(g), kernels.l0_smooth(g), kernels.rolling_guidance(g, rounds=1), kernels.mean_shift(b3, 2, 20, 2)[..., 0]))
+
+    return each_image(_images(spark, d), "image_id string, gaussian double, bilateral double, l0 double, rolling double, mean_shift double", f)
+
+
+def _color_images(spark, d) -> DataFrame:
+    pixels = color_raster(spark, d)
+    packed = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.array_sort(F.collect_list(F.struct("y", "x", "b", "g", "r"))).alias("p"))
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    data = F.unhex(F.array_join(F.transform("p", lambda p: F.concat(two(p["b"]), two(p["g"]), two(p["r"]))), ""))
+    return packed.select(F.col("image_id").cast("string").alias("image_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.lit(3).alias("n_channels"), data.alias("data"), F.lit(None).cast("string").alias("error_class"))
+
+
+def _stub() -> dict:
+    """Stands in for a network in queries and tests: dark where the image is."""
+    return {"model": lambda rgb: 255 - kernels.to_gray(rgb[..., ::-1])}
+
+
+def _styled(name: str, load=None):
+    def f(spark, d):
+        page = gate.Page(size=(60.0, 80.0), margin_mm=5.0, dpi=60)
+        done = engine.convert(_color_images(spark, d), engine.Profile(page=page, style=name, detail="adult"), load)
+        return done.select("image_id", "style", F.coalesce(F.size("paths"), F.lit(0)).alias("n_paths"), F.octet_length("raster").alias("raster_bytes"), "ink_coverage", "enclosed_regions", "passed", "error_class")
+
+    f.__doc__ = f"The derived colour images in style {name}."
+    return f
+
+
+for _name in ("adaptive", "canny", "cartoon", "chained", "region", "skeleton", "xdog"):
+    QUERIES[f"style_{_name}"] = (_styled(_name), None)
+for _name in ("anime2sketch", "informative_drawings", "gated", "lineart-raster"):
+    QUERIES[f"style_{_name.replace('-', '_')}"] = (_styled(_name, _stub), None)
+
+
+@query()
+def style_lineart(spark, d):
+    """Segments from brightness bands stand in for the mask network."""
+
+    def load():
+        def masks(image):
+            g = kernels.to_gray(image)
+            return [(g < t, float((g < t).sum())) for t in (64, 128, 192, 256)]
+
+        return _stub() | {"masks": masks}
+
+    return _styled("lineart", load)(spark, d)
