@@ -255,4 +255,5 @@ def export(archives: DataFrame, folder: str) -> None:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_histories(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    """What the histories of all pages say of each."""
+    return capture_histories(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
