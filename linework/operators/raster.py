@@ -12,8 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def along_row():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 # --- measures
@@ -120,10 +126,10 @@ def _mirrored(value: Column, over) -> tuple[Column, Column]:
 
 def sobel(pixels: DataFrame, value: str = "v") -> DataFrame:
     """gx, gy and energy gx^2 + gy^2 of the 3 x 3 Sobel stencil."""
-    left, right = _mirrored(F.col(value), ROW)
+    left, right = _mirrored(F.col(value), along_row())
     rows = pixels.select("image_id", "y", "x", (right - left).alias("d"), (left + 2 * F.col(value) + right).alias("s"))
-    d_up, d_down = _mirrored(F.col("d"), COLUMN)
-    s_up, s_down = _mirrored(F.col("s"), COLUMN)
+    d_up, d_down = _mirrored(F.col("d"), along_column())
+    s_up, s_down = _mirrored(F.col("s"), along_column())
     out = rows.select("image_id", "y", "x", (d_up + 2 * F.col("d") + d_down).alias("gx"), (s_down - s_up).alias("gy"))
     return out.withColumn("energy", F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
 
@@ -132,9 +138,9 @@ def box(pixels: DataFrame, radius: int, what=F.avg, value: str = "v", out: str =
     """A separable aggregate (avg of sums, min or max) over squares of 2 radius + 1, cut off at the border."""
     over = lambda w: w.rowsBetween(-radius, radius)
     if what is F.avg:
-        rows = pixels.select("*", F.sum(value).over(over(ROW)).alias("_s"), F.count(value).over(over(ROW)).alias("_n"))
-        return rows.select(*pixels.columns, (F.sum("_s").over(over(COLUMN)) / F.sum("_n").over(over(COLUMN))).alias(out))
-    return pixels.withColumn("_m", what(value).over(over(ROW))).withColumn(out, what("_m").over(over(COLUMN))).drop("_m")
+        rows = pixels.select("*", F.sum(value).over(over(along_row())).alias("_s"), F.count(value).over(over(along_row())).alias("_n"))
+        return rows.select(*pixels.columns, (F.sum("_s").over(over(along_column())) / F.sum("_n").over(over(along_column()))).alias(out))
+    return pixels.withColumn("_m", what(value).over(over(along_row()))).withColumn(out, what("_m").over(over(along_column()))).drop("_m")
 
 
 def adaptive_threshold(pixels: DataFrame, block: int = 9, c: float = 2) -> DataFrame:
@@ -164,8 +170,8 @@ def neighbor_counts(mask: DataFrame, value: str = "v") -> DataFrame:
     """For pixels whose value is not 0, how many of the eight neighbours are not 0 either."""
     on = (F.col(value) != 0).cast("int")
     three = lambda w: w.rowsBetween(-1, 1)
-    rows = mask.select("image_id", "y", "x", on.alias("on"), F.sum(on).over(three(ROW)).alias("s"))
-    return rows.withColumn("n", F.sum("s").over(three(COLUMN)) - F.col("on")).where("on = 1").select("image_id", "y", "x", "n")
+    rows = mask.select("image_id", "y", "x", on.alias("on"), F.sum(on).over(three(along_row())).alias("s"))
+    return rows.withColumn("n", F.sum("s").over(three(along_column())) - F.col("on")).where("on = 1").select("image_id", "y", "x", "n")
 
 
 def shrunk(pixels: DataFrame, factor: int) -> DataFrame:
@@ -197,14 +203,14 @@ def mean_per_label(labels: DataFrame, *values: str) -> DataFrame:
 
 def boundary(labels: DataFrame) -> DataFrame:
     """Pixels of which one of the four neighbours has another label, on both sides of the edge."""
-    differs = [F.coalesce(f("label").over(w) != F.col("label"), F.lit(False)) for w in (ROW, COLUMN) for f in (F.lag, F.lead)]
+    differs = [F.coalesce(f("label").over(w) != F.col("label"), F.lit(False)) for w in (along_row(), along_column()) for f in (F.lag, F.lead)]
     flagged = labels.withColumn("_row", differs[0] | differs[1]).withColumn("_edge", F.col("_row") | differs[2] | differs[3])
     return flagged.where("_edge").drop("_row", "_edge")
 
 
 def adjacency(labels: DataFrame) -> DataFrame:
     """Distinct unordered pairs of labels that touch along a side: (a, b), a < b."""
-    pairs = labels.select("image_id", "label", F.lead("label").over(ROW).alias("right"), F.lead("label").over(COLUMN).alias("down"))
+    pairs = labels.select("image_id", "label", F.lead("label").over(along_row()).alias("right"), F.lead("label").over(along_column()).alias("down"))
     pairs = pairs.select("image_id", "label", F.explode(F.array("right", "down")).alias("other")).where("other <> label")
     return pairs.select("image_id", F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
 
@@ -212,7 +218,7 @@ def adjacency(labels: DataFrame) -> DataFrame:
 def contrast_filter(labels: DataFrame, means: DataFrame, least: float, values: list[str]) -> DataFrame:
     """Boundary pixels that lie beside a region whose mean differs by at least ``least``. ``means`` has mean_<value> of
     each label. Neighbouring labels are compared once for each pair, not for each pixel."""
-    near = [f("label").over(w) for w in (ROW, COLUMN) for f in (F.lag, F.lead)]
+    near = [f("label").over(w) for w in (along_row(), along_column()) for f in (F.lag, F.lead)]
     seen = labels.select("image_id", "y", "x", "label", F.array(*near).alias("near")).select("image_id", "y", "x", "label", F.explode(F.array_distinct("near")).alias("other")).where("other <> label")
     a = means.select("image_id", F.col("label"), *(F.col(f"mean_{v}").alias(f"a_{v}") for v in values))
     b = means.select("image_id", F.col("label").alias("other"), *(F.col(f"mean_{v}").alias(f"b_{v}") for v in values))

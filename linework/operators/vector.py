@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PATH = ["image_id", "path_id"]
-ORDER = Window.partitionBy(*PATH).orderBy("i")
-WHOLE = Window.partitionBy(*PATH)
+
+
+def whole():
+    return Window.partitionBy(*PATH)
+
+
+def in_order():
+    return whole().orderBy("i")
 
 
 def path_length(points: DataFrame) -> DataFrame:
@@ -56,24 +62,24 @@ def detail_filter(paths: DataFrame, presets: DataFrame, scale_mm: Column, conten
 def collinear_drop(points: DataFrame) -> DataFrame:
     """Without points equal to the one before, then without those that lie on the straight way between their
     neighbours. Of open paths the ends stay; a closed path that would fall under three points stays as it was."""
-    same = (F.lag("x").over(ORDER) == F.col("x")) & (F.lag("y").over(ORDER) == F.col("y"))
+    same = (F.lag("x").over(in_order()) == F.col("x")) & (F.lag("y").over(in_order()) == F.col("y"))
     first = F.struct("x", "y")
-    over = WHOLE.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = points.withColumn("_n0", F.count("*").over(WHOLE)).withColumn("_last", F.last(first).over(over))
-    wraps = F.col("closed") & (F.lag("i").over(ORDER).isNull()) & (F.col("_last") == first) & (F.col("_n0") > 1)
+    over = whole().orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = points.withColumn("_n0", F.count("*").over(whole())).withColumn("_last", F.last(first).over(over))
+    wraps = F.col("closed") & (F.lag("i").over(in_order()).isNull()) & (F.col("_last") == first) & (F.col("_n0") > 1)
     rows = rows.withColumn("_same", F.coalesce(same, F.lit(False)) | wraps)
-    rows = rows.withColumn("_distinct", F.sum((~F.col("_same")).cast("int")).over(WHOLE))
+    rows = rows.withColumn("_distinct", F.sum((~F.col("_same")).cast("int")).over(whole()))
     small = (F.col("_n0") < 3) | (F.col("closed") & (F.col("_distinct") < 3))
     rows = rows.where(small | ~F.col("_same")).withColumn("_small", small | (F.col("_distinct") < 3))
     edge = lambda f: F.first(f).over(over)
     last = lambda f: F.last(f).over(over)
-    px, py = F.coalesce(F.lag("x").over(ORDER), last("x")), F.coalesce(F.lag("y").over(ORDER), last("y"))
-    nx, ny = F.coalesce(F.lead("x").over(ORDER), edge("x")), F.coalesce(F.lead("y").over(ORDER), edge("y"))
+    px, py = F.coalesce(F.lag("x").over(in_order()), last("x")), F.coalesce(F.lag("y").over(in_order()), last("y"))
+    nx, ny = F.coalesce(F.lead("x").over(in_order()), edge("x")), F.coalesce(F.lead("y").over(in_order()), edge("y"))
     rows = rows.withColumns({"_ix": F.col("x") - px, "_iy": F.col("y") - py, "_ox": nx - F.col("x"), "_oy": ny - F.col("y")})
     turns = (F.col("_ix") * F.col("_oy") != F.col("_iy") * F.col("_ox")) | (F.col("_ix") * F.col("_ox") + F.col("_iy") * F.col("_oy") <= 0)
-    end = ~F.col("closed") & (F.lag("i").over(ORDER).isNull() | F.lead("i").over(ORDER).isNull())
+    end = ~F.col("closed") & (F.lag("i").over(in_order()).isNull() | F.lead("i").over(in_order()).isNull())
     rows = rows.withColumn("_keep", F.col("_small") | turns | end)
-    rows = rows.withColumn("_kept", F.sum(F.col("_keep").cast("int")).over(WHOLE))
+    rows = rows.withColumn("_kept", F.sum(F.col("_keep").cast("int")).over(whole()))
     return rows.where(F.col("_keep") | (F.col("closed") & (F.col("_kept") < 3))).select(*points.columns)
 
 
@@ -82,14 +88,14 @@ def chaikin(points: DataFrame, rounds: int = 1) -> DataFrame:
     under three points stay."""
     now = points
     for _ in range(rounds):
-        over = WHOLE.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = now.withColumn("_n", F.count("*").over(WHOLE)).withColumn("_next", F.coalesce(F.lead(F.struct("x", "y")).over(ORDER), F.when(F.col("closed"), F.first(F.struct("x", "y")).over(over))))
+        over = whole().orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = now.withColumn("_n", F.count("*").over(whole())).withColumn("_next", F.coalesce(F.lead(F.struct("x", "y")).over(in_order()), F.when(F.col("closed"), F.first(F.struct("x", "y")).over(over))))
         mix = lambda t: F.struct((F.col("x") * (1 - t) + F.col("_next.x") * t).alias("x"), (F.col("y") * (1 - t) + F.col("_next.y") * t).alias("y"))
         own = F.struct("x", "y")
         cutting = F.when(F.col("_n") < 3, F.array(own)).when(F.col("closed"), F.array(mix(0.25), mix(0.75)))
-        cutting = cutting.when(F.col("_next").isNull(), F.array(own)).when(F.lag("i").over(ORDER).isNull(), F.array(own, mix(0.25), mix(0.75))).otherwise(F.array(mix(0.25), mix(0.75)))
+        cutting = cutting.when(F.col("_next").isNull(), F.array(own)).when(F.lag("i").over(in_order()).isNull(), F.array(own, mix(0.25), mix(0.75))).otherwise(F.array(mix(0.25), mix(0.75)))
         rows = rows.withColumn("_cut", cutting).select(*now.columns, F.posexplode("_cut").alias("_k", "_p"))
-        now = rows.withColumn("i", F.row_number().over(WHOLE.orderBy("i", "_k")) - 1).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).select(*points.columns)
+        now = rows.withColumn("i", F.row_number().over(whole().orderBy("i", "_k")) - 1).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).select(*points.columns)
     return now
 
 
@@ -112,7 +118,7 @@ def isolated_endpoints(points: DataFrame, cell: float) -> DataFrame:
     path's points in it, and no pair of points is ever made."""
     cells = points.select(*PATH, F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).distinct()
     by_cell = cells.groupBy("image_id", "cx", "cy").agg(F.min("path_id").alias("lo"), F.max("path_id").alias("hi"))
-    ends = points.where("not closed").withColumn("_last", F.max("i").over(WHOLE)).where("i = 0 or i = _last").select(*PATH, "i", "x", "y")
+    ends = points.where("not closed").withColumn("_last", F.max("i").over(whole())).where("i = 0 or i = _last").select(*PATH, "i", "x", "y")
     near = ends.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     near = near.withColumns({"cx": F.floor(F.col("x") / cell) + F.col("dx"), "cy": F.floor(F.col("y") / cell) + F.col("dy")})
     met = near.join(by_cell, ["image_id", "cx", "cy"]).where("lo <> path_id or hi <> path_id").select(*PATH, "i").distinct()
