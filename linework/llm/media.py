@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, mix64, table
 
 #: Sides of the pyramid's levels against the image, corners kept for an image, and the patch's radius.
 SCALES = (1.0, 0.75, 0.5)
@@ -33,6 +33,8 @@ CHUNKS = 8
 MOST_APART = 48
 LEAST_AGREEING = 5
 SHIFT_BIN = 8.0
+#: Bits of the filter that keeps chunks no query has out of the shuffle.
+FILTER_BITS = 1 << 24
 
 
 def _pattern() -> np.ndarray:
@@ -153,7 +155,51 @@ def corners(images: DataFrame) -> DataFrame:
 def _chunks(found: DataFrame) -> DataFrame:
     """A row for each chunk of each descriptor: which chunk, and its value."""
     parts = [F.struct(F.lit(2 * k + half).alias("chunk"), F.shiftright(F.col(f"d{k}") if half else F.shiftleft(f"d{k}", 32), 32).alias("value")) for k in range(4) for half in (0, 1)]
-    return found.withColumn("part", F.explode(F.array(*parts[:CHUNKS]))).select("*", "part.chunk", "part.value").drop("part")
+    return found.withColumn("part", F.explode(F.array(*parts))).select("*", "part.chunk", "part.value").drop("part")
+
+
+def _places(words: np.ndarray) -> np.ndarray:
+    """(n, CHUNKS) places of the chunks of descriptors (n, 4) in the filter."""
+    values = words.view(np.uint32).reshape(len(words), CHUNKS).astype(np.uint64)
+    return (mix64(values * np.uint64(CHUNKS) + np.arange(CHUNKS, dtype=np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _asked_bits(queries: DataFrame) -> np.ndarray:
+    """The filter of all chunks of the queries: of one size at any scale, gathered as 64-bit words that are combined
+    before they reach the driver."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p = np.unique(_places(_words(batch)))
+                yield pa.RecordBatch.from_arrays([pa.array(p // 64), pa.array(np.left_shift(np.int64(1), p % 64))], names=["w", "bit"])
+
+    got = queries.select("d0", "d1", "d2", "d3").mapInArrow(run, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out
+
+
+def _words(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(f"d{k}").to_numpy() for k in range(4)], 1)
+
+
+def _chunks_asked(found: DataFrame, bits: np.ndarray) -> DataFrame:
+    """_chunks() without those that surely no query has, so that few rows are shuffled."""
+    shared = found.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = _words(batch)
+            p = _places(words)
+            row, chunk = np.nonzero(shared.value[p // 64] >> (p % 64) & 1)
+            value = words.view(np.int32).reshape(len(words), CHUNKS)[row, chunk].astype(np.int64)
+            some = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(chunk.astype(np.int32)), pa.array(value)], names=[*batch.schema.names, "chunk", "value"])
+
+    return found.mapInArrow(run, CORNER + ", chunk int, value long")
 
 
 def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
@@ -161,7 +207,7 @@ def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, l
     one similarity. Both sides are corners(). A pair of corners that meets in several tables counts once."""
     q = _chunks(queries.select(*(F.col(c).alias(f"q_{c}") for c in ("image_id", "y", "x", "scale", "angle")), "d0", "d1", "d2", "d3"))
     q = q.select("chunk", "value", "q_image_id", "q_y", "q_x", "q_scale", "q_angle", *(F.col(f"d{k}").alias(f"e{k}") for k in range(4)))
-    joined = q.join(_chunks(found), ["chunk", "value"])
+    joined = q.join(_chunks_asked(found, _asked_bits(queries)), ["chunk", "value"])
     apart = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"e{k}"))) for k in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("e0"))))
     matches = joined.where(apart <= most_apart)
     # the similarity that takes the query's corner to the image's
@@ -221,6 +267,5 @@ def rendered(vectors: DataFrame, alter: bool = False) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Altered copies of every image whose id is divisible by 100, searched for among all images."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    every = cut(corners(rendered(vectors)), "corners")
     asked = cut(corners(rendered(vectors.where("vec_id % 100 = 0"), alter=True)), "asked")
-    return copies(asked, every)
+    return copies(asked, corners(rendered(vectors)))
