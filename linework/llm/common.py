@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,9 +99,11 @@ def words(raw: bytes) -> list[bytes]:
 
 def hash_words(found: list[bytes]) -> np.ndarray:
     """A 64-bit SipHash of each word, alike in every process."""
+    from pandas.util import hash_array  # here, as most operators' workers do without pandas
+
     a = np.empty(len(found), dtype=object)
     a[:] = found
-    return pd.util.hash_array(a, categorize=False)
+    return hash_array(a, categorize=False)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
