@@ -254,3 +254,22 @@ def merge_small_regions(labels: DataFrame, value: str, least: int, rounds: int =
         if cut:
             now = cut(now)
     return now
+
+
+def within_labels(pixels: DataFrame, kept: DataFrame) -> DataFrame:
+    """Pixels (image_id, y, x, label, ...) whose label is among the kept ones (image_id, label)."""
+    return pixels.join(kept.select("image_id", "label").distinct(), ["image_id", "label"], "left_semi")
+
+
+def pair_area(pairs: DataFrame, areas: DataFrame) -> DataFrame:
+    """source_area of pairs of labels (image_id, a, b): the smaller region's share of the image."""
+    own = areas.select("image_id", F.col("label").alias("a"), F.col("area").alias("area_a"))
+    its = areas.select("image_id", F.col("label").alias("b"), F.col("area").alias("area_b"))
+    whole = areas.groupBy("image_id").agg(F.sum("area").alias("whole"))
+    return pairs.join(own, ["image_id", "a"]).join(its, ["image_id", "b"]).join(whole, "image_id").withColumn("source_area", F.least("area_a", "area_b") / F.col("whole")).drop("area_a", "area_b", "whole")
+
+
+def zonal_confidence(pixels: DataFrame, zones: DataFrame) -> DataFrame:
+    """255 less the mean value under each zone (image_id, path_id, y, x); a zone without a pixel has 0."""
+    found = zones.join(pixels.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
+    return found.groupBy("image_id", "path_id").agg(F.coalesce(255 - F.avg("v"), F.lit(0.0)).alias("confidence"))

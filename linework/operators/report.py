@@ -53,3 +53,18 @@ def stage_funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
         part = df.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.lit(seq).alias("seq"), F.lit(name).alias("stage"), "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def write_csv(metrics: DataFrame, folder: str) -> None:
+    """Metrics with a header; nulls are blank."""
+    metrics.write.mode("overwrite").option("header", True).option("nullValue", "").csv(folder)
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A table of a report's rows for people to read; a report of more rows than ``most`` is refused, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a table of more than {most} rows")
+    show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in found])

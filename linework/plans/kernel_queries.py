@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gate, kernels, styles
-from ..sources.derived import RASTER_SQL, color_raster, raster
+from ..operators import raster as rop
+from ..sources.derived import RASTER_SQL, color_raster, label_map, raster
 from ..sources.images import from_pixels, to_pixels
-from . import engine
+from . import compare, engine
 
 QUERIES = {}
 
@@ -173,6 +174,74 @@ def smoothing(spark, d):
     return each_image(_images(spark, d), "image_id string, gaussian double, bilateral double, l0 double, rolling double, mean_shift double", f)
 
 
+@query()
+def skeleton_metrics(spark, d):
+    """Counts of the skeleton's pixels, ends and junctions."""
+
+    def f(i, a):
+        yield i, *kernels.skeleton_counts(a < 80).values()
+
+    return each_image(_images(spark, d), "image_id string, pixels long, endpoints long, junctions long, hubs long, lines long", f)
+
+
+@query()
+def spatial_region_areas(spark, d):
+    """Connected parts of each brightness band."""
+
+    def f(i, a):
+        by: dict[int, list[int]] = {}
+        for label, area in kernels.spatial_regions(a.astype(int) // 64):
+            by.setdefault(label, []).append(area)
+        return [(i, label, len(v), sum(v), max(v)) for label, v in sorted(by.items())]
+
+    return each_image(_images(spark, d), "image_id string, label int, n_parts long, area long, largest long", f)
+
+
+@query()
+def outer_contours(spark, d):
+    """Outer borders of the dark components."""
+
+    def f(i, a):
+        for n, c in enumerate(kernels.contours(a < 40)):
+            yield i, n, len(c), round(kernels.path_length(c, True), 6)
+
+    return each_image(_images(spark, d), "image_id string, contour_id long, n_points long, length double", f)
+
+
+@query(f"""WITH {RASTER_SQL}, l AS (SELECT image_id, y, x, v, CAST(floor(v / 64) AS INTEGER) AS label FROM raster), n AS (SELECT image_id, label, count(*) AS area FROM l GROUP BY 1, 2), w AS (SELECT image_id, sum(area) AS whole FROM n GROUP BY 1)
+  SELECT a.image_id, a.label AS a, b.label AS b, round(least(a.area, b.area) / whole::DOUBLE, 6) AS source_area FROM n a JOIN n b ON a.image_id = b.image_id AND a.label < b.label JOIN w ON w.image_id = a.image_id
+  WHERE EXISTS (SELECT 1 FROM l p JOIN l q ON p.image_id = q.image_id AND ((p.y = q.y AND abs(p.x - q.x) = 1) OR (p.x = q.x AND abs(p.y - q.y) = 1)) WHERE p.image_id = a.image_id AND p.label = a.label AND q.label = b.label)""")
+def pair_area(spark, d):
+    """Touching brightness bands and the smaller one's share."""
+    labels = label_map(raster(spark, d))
+    areas = labels.groupBy("image_id", "label").agg(F.count("*").alias("area"))
+    return rop.pair_area(rop.adjacency(labels), areas).withColumn("source_area", F.round("source_area", 6)).select("image_id", "a", "b", "source_area")
+
+
+@query(f"""WITH {RASTER_SQL}, l AS (SELECT image_id, y, x, CAST(floor(v / 64) AS INTEGER) AS label FROM raster), big AS (SELECT image_id, label FROM l GROUP BY 1, 2 HAVING count(*) >= 700)
+  SELECT image_id, label, y, x FROM l WHERE (image_id, label) IN (SELECT image_id, label FROM big)""")
+def kept_region_mask(spark, d):
+    """Pixels of the large bands."""
+    labels = label_map(raster(spark, d))
+    big = labels.groupBy("image_id", "label").agg(F.count("*").alias("n")).where("n >= 700")
+    return rop.within_labels(labels, big).select("image_id", "label", "y", "x")
+
+
+@query(f"""WITH {RASTER_SQL}, z AS (SELECT image_id, y // 8 AS path_id, y, x FROM raster WHERE x % 5 = 0) SELECT z.image_id, path_id::INT AS path_id, round(255 - avg(v), 6) AS confidence FROM z JOIN raster USING (image_id, y, x) GROUP BY 1, 2""")
+def zonal_confidence(spark, d):
+    """Darkness under zones of every fifth column."""
+    p = raster(spark, d)
+    zones = p.where("x % 5 = 0").select("image_id", F.floor(F.col("y") / 8).cast("int").alias("path_id"), "y", "x")
+    return rop.zonal_confidence(p, zones).withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def style_comparison(spark, d):
+    """The derived colour images in two styles, with the metrics of a comparison table."""
+    page = gate.Page(size=(60.0, 80.0), margin_mm=5.0, dpi=60)
+    return compare.compare(_color_images(spark, d), ["canny", "xdog"], engine.Profile(page=page, detail="adult"))
+
+
 def _color_images(spark, d) -> DataFrame:
     pixels = color_raster(spark, d)
     packed = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.array_sort(F.collect_list(F.struct("y", "x", "b", "g", "r"))).alias("p"))

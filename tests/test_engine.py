@@ -188,3 +188,48 @@ def test_near_details_go(spark):
 def test_isolated_ends(spark):
     df = lines(spark, [(1, False, "boundary", [(0.5, 0.5), (10.5, 0.5)]), (2, False, "boundary", [(10.5, 1.5), (30.5, 1.5)]), (3, True, "boundary", [(50, 50), (60, 60), (50, 60)])])
     assert {(r.path_id, r.i) for r in vector.isolated_endpoints(df, 1.0).collect()} == {(1, 0), (2, 1)}
+
+
+def test_comparison(spark):
+    from linework.plans import compare
+
+    df = images.from_arrays(spark, {"a": photo(), "b": photo()[::-1].copy()})
+    reference = images.from_arrays(spark, {"a": k.rasterize(engine.styles.canny(photo()).paths, 64 / 48, 64)})
+    rows = {(r.image_id, r.style): r for r in compare.compare(df, ["canny", "gated"], references=reference).collect()}
+    assert len(rows) == 4 and rows["a", "gated"].error_class == "ModelMissing"
+    assert rows["a", "canny"].ref_f1 > 0.9 and rows["b", "canny"].ref_f1 is None and rows["b", "canny"].component_count > 0
+    table = compare.ablation(df, {"fine": ("canny", {}), "coarse": ("canny", {"low": 200.0, "high": 400.0})})
+    assert table.count() == 4 and report.markdown(table.drop("seconds").orderBy("image_id", "variant")).count("\n") == 5
+    with pytest.raises(ValueError):
+        report.markdown(table, 2)
+    seen = compare.stages(df, engine.Profile(page=PAGE, style="canny")).collect()
+    assert [r.stage for r in seen if r.image_id == "a"] == ["denoised", "edges"] and seen[0].png.startswith(b"\x89PNG")
+
+
+def test_csv_has_blanks(spark, tmp_path):
+    report.write_csv(spark.createDataFrame([("a", None), ("b", 0.5)], "image string, ref_f1 double"), str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).where("ref_f1 is null").count() == 1
+
+
+def test_segments():
+    from linework.plans import compare
+
+    y, x = np.mgrid[0:40, 0:40]
+    masks = lambda image: [((y // 8 == a) & (x // 8 == b), 64.0) for a in range(5) for b in range(5)] + [((y == 0) & (x == 0), 1.0)]
+    assert compare.evaluate_segments(np.zeros((40, 40, 3), np.uint8), masks, 4)["region_count"] == 25
+
+
+def test_weights(tmp_path, monkeypatch):
+    import hashlib
+
+    from linework.sources import weights
+
+    f = tmp_path / "w"
+    f.write_bytes(b"x")
+    assert weights.resolve(str(f), "NO_SUCH") == str(f)
+    monkeypatch.setenv("SOME_WEIGHTS", str(f))
+    assert weights.verify(weights.resolve(None, "SOME_WEIGHTS"), hashlib.sha256(b"x").hexdigest()) == str(f)
+    with pytest.raises(weights.WeightsMissing):
+        weights.resolve(None, "NO_SUCH")
+    with pytest.raises(weights.WeightsWrong):
+        weights.verify(str(f), "0" * 64)

@@ -266,3 +266,27 @@ def test_smoothers_keep_flat_images():
     assert np.allclose(k.mean_shift(np.dstack([flat] * 3), 2, 20), 90)
     assert k.downscaled(np.zeros((100, 50, 3), np.uint8), 20).shape == (20, 10, 3)
     assert k.downscaled(np.zeros((10, 5, 3), np.uint8), 20).shape == (10, 5, 3)
+
+
+def test_contours():
+    m = np.zeros((8, 9), bool)
+    m[1:4, 1:5] = True
+    m[6, 7] = True
+    box, dot = k.contours(m)
+    assert len(box) == 10 and k.path_length(box, True) == 10 and dot.tolist() == [[7, 6]]
+    line = np.zeros((3, 6), bool)
+    line[1, 1:5] = True
+    (c,) = k.contours(line)
+    assert {tuple(p) for p in c.tolist()} == {(x, 1) for x in range(1, 5)}
+
+
+def test_parts_of_labels():
+    a = np.array([[0, 0, 1], [1, 0, 1], [1, 1, 0]])
+    assert sorted(k.spatial_regions(a)) == [(0, 1), (0, 3), (1, 2), (1, 3)]
+
+
+def test_skeleton_counts():
+    m = np.zeros((40, 40), bool)
+    m[20, 5:35] = m[5:35, 20] = True
+    counts = k.skeleton_counts(m)
+    assert counts["endpoints"] == 4 and counts["hubs"] == 1 and counts["lines"] == 1
