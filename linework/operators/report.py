@@ -14,9 +14,20 @@ PROFILE_SCHEMA = "page struct<size: string, orientation: string, margin_mm: doub
 DEFAULTS = {"style": "lineart-raster", "detail": "child", "device": "auto", "max_pixels": 40_000_000}
 
 
-def grid(images: DataFrame, styles: DataFrame) -> DataFrame:
-    """Each image with each style; styles are a handful of rows."""
-    return images.crossJoin(F.broadcast(styles))
+def literal_rows(rows: list[tuple], schema: str) -> Column:
+    """Rows known to the program as an array of structs, to be exploded beside each row: no join, no broadcast."""
+    fields = [x.split() for x in schema.split(", ")]
+    return F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, fields, strict=True))) for r in rows))
+
+
+def grid(images: DataFrame, styles: list[tuple] = STYLES, schema: str = STYLE_SCHEMA) -> DataFrame:
+    """Each image with each style."""
+    return images.withColumn("_s", F.explode(literal_rows(styles, schema))).select(*images.columns, "_s.*")
+
+
+def recommended(styles: DataFrame, left_out: list[str]) -> DataFrame:
+    """All styles but those left out."""
+    return styles.where(~F.col("style").isin(left_out))
 
 
 def with_reference(images: DataFrame, pairs: DataFrame) -> DataFrame:

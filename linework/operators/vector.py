@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .report import literal_rows
+
 PATH = ["image_id", "path_id"]
 
 
@@ -50,13 +52,13 @@ DETAIL = [("toddler", 300.0, 6.0, 1.0, 512), ("child", 120.0, 3.0, 0.6, 768), ("
 DETAIL_SCHEMA = "detail string, min_region_area_mm2 double, min_stroke_length_mm double, simplify_epsilon_mm double, raster_resolution int"
 
 
-def detail_filter(paths: DataFrame, presets: DataFrame, scale_mm: Column, content_area_mm2: Column) -> DataFrame:
-    """Paths (length, source_area as shares) that are long and large enough for a preset on a page; a path without an
-    area passes that test, and without content area the test is left out. Presets are a handful of rows."""
-    joined = paths.crossJoin(F.broadcast(presets))
-    long_enough = F.col("length") >= F.col("min_stroke_length_mm") / scale_mm
-    large_enough = F.col("source_area").isNull() | (content_area_mm2 <= 0) | (F.col("source_area") >= F.col("min_region_area_mm2") / content_area_mm2)
-    return joined.where(long_enough & large_enough).select(*paths.columns, "detail")
+def detail_filter(paths: DataFrame, scale_mm: Column, content_area_mm2: Column, presets: list[tuple] = DETAIL) -> DataFrame:
+    """Paths (length, source_area as shares) that are long and large enough for each preset on a page; a path without an
+    area passes that test, and without content area the test is left out."""
+    joined = paths.withColumn("_d", F.explode(literal_rows(presets, DETAIL_SCHEMA)))
+    long_enough = F.col("length") >= F.col("_d.min_stroke_length_mm") / scale_mm
+    large_enough = F.col("source_area").isNull() | (content_area_mm2 <= 0) | (F.col("source_area") >= F.col("_d.min_region_area_mm2") / content_area_mm2)
+    return joined.where(long_enough & large_enough).select(*paths.columns, "_d.detail")
 
 
 def collinear_drop(points: DataFrame) -> DataFrame:

@@ -29,16 +29,14 @@ STYLES_SQL = "styles AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {str(r).l
 def style_report_grid(spark, d):
     """Images by recommended styles; a third of the images have no reference."""
     q = rop.quality_report(raster(spark, d)).select("image_id", F.round("ink_coverage", 6).alias("ink_coverage"), F.round("antialiased_fraction", 6).alias("antialiased_fraction"))
-    styles = spark.createDataFrame(op.STYLES, op.STYLE_SCHEMA)
     pairs = q.where("image_id % 3 <> 0").select("image_id", (F.col("image_id") + 1).alias("reference_id"))
-    return op.grid(q, styles.where("recommended").drop("recommended")).join(pairs, "image_id", "left")
+    return op.grid(q).where("recommended").drop("recommended").join(pairs, "image_id", "left")
 
 
 @query(f"WITH {STYLES_SQL} SELECT style FROM styles WHERE style NOT IN ('adaptive', 'gated', 'xdog', 'chained')")
 def recommended_styles(spark, d):
     styles = spark.createDataFrame(op.STYLES, op.STYLE_SCHEMA)
-    left_out = spark.createDataFrame([("adaptive",), ("gated",), ("xdog",), ("chained",)], "style string")
-    return styles.join(F.broadcast(left_out), "style", "left_anti").select("style")
+    return op.recommended(styles, ["adaptive", "gated", "xdog", "chained"]).select("style")
 
 
 @query("""WITH s AS (SELECT page_id, CASE WHEN length(html) > 3000 THEN 'image_too_large' WHEN page_id % 7 = 0 THEN 'unsupported_image' END AS error, CASE WHEN page_id % 2 = 0 THEN page_id % 4 = 0 END AS passed FROM pages)

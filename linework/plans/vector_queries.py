@@ -51,7 +51,7 @@ def length_filter(spark, d):
 def detail_filter(spark, d):
     """A page on which the image is 0.25 mm wide and 3000 mm2 large, so that each preset drops some paths."""
     paths = op.path_length(points(spark, d)).withColumn("source_area", F.when(F.col("closed"), F.col("length") / 400))
-    return op.detail_filter(paths, spark.createDataFrame(op.DETAIL, op.DETAIL_SCHEMA), F.lit(0.25), F.lit(3000.0)).select("image_id", "path_id", "detail")
+    return op.detail_filter(paths, F.lit(0.25), F.lit(3000.0)).select("image_id", "path_id", "detail")
 
 
 #: A coarse grid brings about repeated and collinear points.
