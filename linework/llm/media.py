@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, table
 
 #: Sides of the pyramid's levels against the image, corners kept for an image, and the patch's radius.
-SCALES = (1.0, 0.75, 0.5)
+SCALES = (1.0, 0.7, 0.5)
 CORNERS = 32
+#: Of an indexed image the strongest so many corners go into the tables; queries have all of theirs.
+INDEXED = 12
 RADIUS = 7
 TURNS = 30
 BITS = 256
 CHUNKS = 8
 #: Largest Hamming distance of a match, and matches that must agree.
 MOST_APART = 48
-LEAST_AGREEING = 5
+LEAST_AGREEING = 3
 SHIFT_BIN = 8.0
 #: Bits of the filter that keeps chunks no query has out of the shuffle.
 FILTER_BITS = 1 << 24
@@ -80,7 +82,7 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return out
 
 
-def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
+def describe(images: np.ndarray, most: int = CORNERS) -> tuple[np.ndarray, ...]:
     """Of rasters of one size (n, height, width): image, y, x, scale, angle, descriptor (4 words) of each corner."""
     none = (np.empty(0, int), *(np.empty(0) for _ in range(4)), np.empty((0, BITS // 64), np.int64))
     found = []
@@ -108,7 +110,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((x, y, s, -r, i))
     first = np.r_[True, i[order][1:] != i[order][:-1]] if len(order) else np.empty(0, bool)
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
-    keep = order[rank < CORNERS]
+    keep = order[rank < most]
     level, i, y, x, s = level[keep], i[keep], y[keep], x[keep], s[keep]
     angle, words = np.zeros(len(i)), np.zeros((len(i), BITS // 64), np.int64)
     for k, f in enumerate(found):
@@ -131,8 +133,8 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
 CORNER = "image_id long, y double, x double, scale double, angle double, d0 long, d1 long, d2 long, d3 long"
 
 
-def corners(images: DataFrame) -> DataFrame:
-    """Corners of (image_id, height, width, data), data one byte for each pixel, row by row."""
+def corners(images: DataFrame, most: int = CORNERS) -> DataFrame:
+    """The strongest corners of (image_id, height, width, data), data one byte for each pixel, row by row."""
 
     def run(batches):
         for batch in batches:
@@ -145,7 +147,7 @@ def corners(images: DataFrame) -> DataFrame:
             for some in by_size.values():
                 for at in range(0, len(some), 128):
                     part = some[at : at + 128]
-                    i, y, x, s, angle, words = describe(np.stack([a for _, a in part]))
+                    i, y, x, s, angle, words = describe(np.stack([a for _, a in part]), most)
                     own = pa.array([part[k][0] for k in i.tolist()], pa.int64())
                     yield pa.RecordBatch.from_arrays([own, *map(pa.array, (y, x, s, angle)), *(pa.array(words[:, k]) for k in range(4))], names=[c.split()[0] for c in CORNER.split(", ")])
 
@@ -264,8 +266,19 @@ def rendered(vectors: DataFrame, alter: bool = False) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, IMAGE)
 
 
+def searched(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row for each query (vec_id): how many images are copies of it, the smallest of them, which stands for
+    their class, and the one that agrees best (ties: the smallest). Pairs are not listed, as a group of copies would give
+    the square of its size."""
+    best = F.max_by(F.struct("image_id", "n_agreeing", "turn", "scale"), F.struct("n_agreeing", -F.col("image_id")))
+    found = pairs.groupBy("query_id").agg(F.count("*").alias("n_copies"), F.min("image_id").alias("class_id"), best.alias("b"))
+    joined = queries.select(F.col("vec_id").alias("query_id")).join(found, "query_id", "left")
+    return joined.select("query_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "class_id", F.col("b.image_id").alias("best_id"), F.col("b.n_agreeing").alias("best_agreeing"), F.col("b.turn").alias("turn"), F.col("b.scale").alias("scale"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Altered copies of every image whose id is divisible by 100, searched for among all images."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    asked = cut(corners(rendered(vectors.where("vec_id % 100 = 0"), alter=True)), "asked")
-    return copies(asked, corners(rendered(vectors)))
+    queries = vectors.where("vec_id % 100 = 0")
+    asked = cut(corners(rendered(queries, alter=True)), "asked")
+    return searched(queries, copies(asked, corners(rendered(vectors), INDEXED)))

@@ -86,7 +86,7 @@ def test_altered_copies_are_found(spark):
     vectors = [(i, rng.normal(size=64).tolist()) for i in range(0, 3000, 25)]
     vectors += [(7, None), (8, []), (9, [None] * 64), (11, vectors[4][1])]
     df = spark.createDataFrame([(i, v, 1, "t", 2.0) for i, v in vectors], "vec_id long, embedding array<double>, chunk int, value string, scale double")
-    every = media.corners(media.rendered(df))
+    every = media.corners(media.rendered(df), media.INDEXED)
     asked = media.corners(media.rendered(df.where("vec_id % 100 = 0"), alter=True))
     got = {(r.query_id, r.image_id): r for r in media.copies(asked, every).collect()}
     queries = {i for i, _ in vectors if i % 100 == 0}
@@ -96,6 +96,8 @@ def test_altered_copies_are_found(spark):
     assert {(q, i) for q, i in got if q != i} == {(100, 11)}
     assert all(got[q, q].turn == (90 if q // 100 % 3 == 0 else 0) for q in found)
     assert media.copies(asked, every.where("false")).count() == 0
+    by_query = {r.query_id: r for r in media.searched(df.where("vec_id % 100 = 0"), media.copies(asked, every)).collect()}
+    assert set(by_query) == queries and (by_query[100].n_copies, by_query[100].class_id, by_query[100].best_id) == (2, 11, 11)
     # tables against comparing all descriptors
     def words(r):
         return np.array([r.d0, r.d1, r.d2, r.d3])
