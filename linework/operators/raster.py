@@ -1,7 +1,8 @@
 """Relational operators on pixels (image_id, y, x, v): measures, stencils, labels.
 
 Stencils are lag and lead over a row, then over a column, so a pixel is never joined with its
-neighbours. Borders mirror without repeating the edge pixel unless an operator says otherwise.
+neighbours. Pixels are dealt by image once, which serves the windows of rows and of columns alike; an
+image is bounded by the size check. Borders mirror without repeating the edge pixel unless an operator says otherwise.
 Values are 0 to 255; ink is dark.
 """
 
@@ -119,6 +120,11 @@ def soft_threshold(pixels: DataFrame, epsilon: float, phi: float, value: str = "
 # --- stencils
 
 
+def by_image(pixels: DataFrame) -> DataFrame:
+    """Each image in one partition: one shuffle for any number of windows over rows and columns."""
+    return pixels.repartition("image_id")
+
+
 def _mirrored(value: Column, over) -> tuple[Column, Column]:
     before, after = F.lag(value).over(over), F.lead(value).over(over)
     return F.coalesce(before, after, value), F.coalesce(after, before, value)
@@ -127,7 +133,7 @@ def _mirrored(value: Column, over) -> tuple[Column, Column]:
 def sobel(pixels: DataFrame, value: str = "v") -> DataFrame:
     """gx, gy and energy gx^2 + gy^2 of the 3 x 3 Sobel stencil."""
     left, right = _mirrored(F.col(value), along_row())
-    rows = pixels.select("image_id", "y", "x", (right - left).alias("d"), (left + 2 * F.col(value) + right).alias("s"))
+    rows = by_image(pixels).select("image_id", "y", "x", (right - left).alias("d"), (left + 2 * F.col(value) + right).alias("s"))
     d_up, d_down = _mirrored(F.col("d"), along_column())
     s_up, s_down = _mirrored(F.col("s"), along_column())
     out = rows.select("image_id", "y", "x", (d_up + 2 * F.col("d") + d_down).alias("gx"), (s_down - s_up).alias("gy"))
@@ -135,7 +141,8 @@ def sobel(pixels: DataFrame, value: str = "v") -> DataFrame:
 
 
 def box(pixels: DataFrame, radius: int, what=F.avg, value: str = "v", out: str = "box") -> DataFrame:
-    """A separable aggregate (avg of sums, min or max) over squares of 2 radius + 1, cut off at the border."""
+    """A separable aggregate (avg of sums, min or max) over squares of 2 radius + 1, cut off at the border. Pixels should
+    be dealt by_image()."""
     over = lambda w: w.rowsBetween(-radius, radius)
     if what is F.avg:
         rows = pixels.select("*", F.sum(value).over(over(along_row())).alias("_s"), F.count(value).over(over(along_row())).alias("_n"))
@@ -145,24 +152,24 @@ def box(pixels: DataFrame, radius: int, what=F.avg, value: str = "v", out: str =
 
 def adaptive_threshold(pixels: DataFrame, block: int = 9, c: float = 2) -> DataFrame:
     """255 where a pixel is lighter than its block's mean less c, else 0."""
-    return box(pixels, block // 2).select("image_id", "y", "x", F.when(F.col("v") > F.col("box") - c, 255).otherwise(0).alias("v"))
+    return box(by_image(pixels), block // 2).select("image_id", "y", "x", F.when(F.col("v") > F.col("box") - c, 255).otherwise(0).alias("v"))
 
 
 def dilated(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    return box(pixels, radius, F.max).select("image_id", "y", "x", F.col("box").alias("v"))
+    return box(by_image(pixels), radius, F.max).select("image_id", "y", "x", F.col("box").alias("v"))
 
 
 def eroded(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    return box(pixels, radius, F.min).select("image_id", "y", "x", F.col("box").alias("v"))
+    return box(by_image(pixels), radius, F.min).select("image_id", "y", "x", F.col("box").alias("v"))
 
 
 def closed(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    return eroded(dilated(pixels, radius), radius)
+    return box(dilated(pixels, radius), radius, F.min).select("image_id", "y", "x", F.col("box").alias("v"))
 
 
 def morphological_gradient(pixels: DataFrame, radius: int = 1) -> DataFrame:
     """Largest less smallest value of the square."""
-    both = box(box(pixels, radius, F.max, out="hi"), radius, F.min, out="lo")
+    both = box(box(by_image(pixels), radius, F.max, out="hi"), radius, F.min, out="lo")
     return both.select("image_id", "y", "x", (F.col("hi") - F.col("lo")).alias("v"))
 
 
@@ -170,7 +177,7 @@ def neighbor_counts(mask: DataFrame, value: str = "v") -> DataFrame:
     """For pixels whose value is not 0, how many of the eight neighbours are not 0 either."""
     on = (F.col(value) != 0).cast("int")
     three = lambda w: w.rowsBetween(-1, 1)
-    rows = mask.select("image_id", "y", "x", on.alias("on"), F.sum(on).over(three(along_row())).alias("s"))
+    rows = by_image(mask).select("image_id", "y", "x", on.alias("on"), F.sum(on).over(three(along_row())).alias("s"))
     return rows.withColumn("n", F.sum("s").over(three(along_column())) - F.col("on")).where("on = 1").select("image_id", "y", "x", "n")
 
 
@@ -204,13 +211,13 @@ def mean_per_label(labels: DataFrame, *values: str) -> DataFrame:
 def boundary(labels: DataFrame) -> DataFrame:
     """Pixels of which one of the four neighbours has another label, on both sides of the edge."""
     differs = [F.coalesce(f("label").over(w) != F.col("label"), F.lit(False)) for w in (along_row(), along_column()) for f in (F.lag, F.lead)]
-    flagged = labels.withColumn("_row", differs[0] | differs[1]).withColumn("_edge", F.col("_row") | differs[2] | differs[3])
+    flagged = by_image(labels).withColumn("_row", differs[0] | differs[1]).withColumn("_edge", F.col("_row") | differs[2] | differs[3])
     return flagged.where("_edge").drop("_row", "_edge")
 
 
 def adjacency(labels: DataFrame) -> DataFrame:
     """Distinct unordered pairs of labels that touch along a side: (a, b), a < b."""
-    pairs = labels.select("image_id", "label", F.lead("label").over(along_row()).alias("right"), F.lead("label").over(along_column()).alias("down"))
+    pairs = by_image(labels).select("image_id", "label", F.lead("label").over(along_row()).alias("right"), F.lead("label").over(along_column()).alias("down"))
     pairs = pairs.select("image_id", "label", F.explode(F.array("right", "down")).alias("other")).where("other <> label")
     return pairs.select("image_id", F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
 
@@ -219,7 +226,7 @@ def contrast_filter(labels: DataFrame, means: DataFrame, least: float, values: l
     """Boundary pixels that lie beside a region whose mean differs by at least ``least``. ``means`` has mean_<value> of
     each label. Neighbouring labels are compared once for each pair, not for each pixel."""
     near = [f("label").over(w) for w in (along_row(), along_column()) for f in (F.lag, F.lead)]
-    seen = labels.select("image_id", "y", "x", "label", F.array(*near).alias("near")).select("image_id", "y", "x", "label", F.explode(F.array_distinct("near")).alias("other")).where("other <> label")
+    seen = by_image(labels).select("image_id", "y", "x", "label", F.array(*near).alias("near")).select("image_id", "y", "x", "label", F.explode(F.array_distinct("near")).alias("other")).where("other <> label")
     a = means.select("image_id", F.col("label"), *(F.col(f"mean_{v}").alias(f"a_{v}") for v in values))
     b = means.select("image_id", F.col("label").alias("other"), *(F.col(f"mean_{v}").alias(f"b_{v}") for v in values))
     apart = F.sqrt(reduce(lambda x, y: x + y, ((F.col(f"a_{v}") - F.col(f"b_{v}")) ** 2 for v in values)))

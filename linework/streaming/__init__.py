@@ -9,14 +9,14 @@ from ..plans.engine import Profile, convert
 from ..sources.images import SCHEMA
 
 
-def gray_frames(spark: SparkSession, folder: str) -> DataFrame:
+def frames(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of Parquet files whose rows are images of the image schema."""
     return spark.readStream.schema(SCHEMA).parquet(folder)
 
 
-def converted(frames: DataFrame, profile: Profile | None = None) -> DataFrame:
+def converted(rows: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Converted rows of a stream: the operator has no state, so any sink and trigger will do."""
-    return convert(frames, profile)
+    return convert(rows, profile)
 
 
 def pass_rate(converted_rows: DataFrame, seconds: str = "1 minute") -> DataFrame:

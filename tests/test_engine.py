@@ -109,7 +109,7 @@ def test_command_line(folder, tmp_path, spark):
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "frames")
     images.from_arrays(spark, {"a": photo(), "b": photo()}).write.parquet(source)
-    rows = streaming.converted(streaming.gray_frames(spark, source), engine.Profile(page=PAGE, style="canny"))
+    rows = streaming.converted(streaming.frames(spark, source), engine.Profile(page=PAGE, style="canny"))
     q = rows.select("image_id", "passed").writeStream.format("memory").queryName("art").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("art").count() == 2
