@@ -87,19 +87,28 @@ def connected_components(spark, d):
     return each_image(_images(spark, d), "image_id string, n_components long, largest long, ink long", f)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER_SQL}, weak AS (SELECT image_id, y, x, v FROM raster WHERE v <= 70),
+  reach AS (SELECT image_id, y, x FROM weak WHERE v <= 30 UNION SELECT w.image_id, w.y, w.x FROM reach r JOIN weak w ON w.image_id = r.image_id AND w.y BETWEEN r.y - 1 AND r.y + 1 AND w.x BETWEEN r.x - 1 AND r.x + 1)
+  SELECT r.image_id::VARCHAR AS image_id, count(*) FILTER (v <= 30) AS n_strong, count(*) FILTER (v <= 70) AS n_weak, any_value(coalesce(k.n, 0)) AS n_kept FROM raster r LEFT JOIN (SELECT image_id, count(*) AS n FROM reach GROUP BY 1) k USING (image_id) GROUP BY r.image_id""")
 def hysteresis(spark, d):
     """Pixels of weak components with a strong pixel."""
     return each_image(_images(spark, d), "image_id string, n_strong long, n_weak long, n_kept long", lambda i, a: [(i, int((a <= 30).sum()), int((a <= 70).sum()), int(kernels.joined(a <= 30, a <= 70).sum()))])
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER_SQL}, paper AS (SELECT image_id, y, x, y * 64 + x AS id FROM raster WHERE v >= 90), size AS (SELECT image_id, max(y) AS h FROM raster GROUP BY 1),
+  out AS (SELECT p.image_id, p.y, p.x FROM paper p JOIN size s USING (image_id) WHERE y = 0 OR x = 0 OR x = 63 OR y = h
+    UNION SELECT p.image_id, p.y, p.x FROM out o JOIN paper p ON p.image_id = o.image_id AND p.y BETWEEN o.y - 1 AND o.y + 1 AND p.x BETWEEN o.x - 1 AND o.x + 1 AND abs(p.y - o.y) + abs(p.x - o.x) = 1),
+  inner_ AS (SELECT * FROM paper p WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.image_id = p.image_id AND o.y = p.y AND o.x = p.x)),
+  near AS (SELECT a.image_id, a.id AS a, b.id AS b FROM inner_ a JOIN inner_ b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
+  reach AS (SELECT image_id, id AS a, id AS b FROM inner_ UNION SELECT r.image_id, r.a, n.b FROM reach r JOIN near n ON r.image_id = n.image_id AND r.b = n.a),
+  part AS (SELECT image_id, root, count(*) AS n FROM (SELECT image_id, a, min(b) AS root FROM reach GROUP BY 1, 2) GROUP BY 1, 2)
+  SELECT s.image_id::VARCHAR AS image_id, count(root) AS n_regions, coalesce(sum(n), 0)::BIGINT AS area, round(quantile_cont(n, 0.05), 6) AS area_p5 FROM size s LEFT JOIN part USING (image_id) GROUP BY s.image_id""")
 def enclosed_regions(spark, d):
     """Regions of paper that ink shuts in, and their areas."""
 
     def f(i, a):
         areas = gate._areas(a < 90)
-        return [(i, len(areas), int(areas.sum()), float(np.percentile(areas, 5)) if len(areas) else None)]
+        return [(i, len(areas), int(areas.sum()), round(float(np.percentile(areas, 5)), 6) if len(areas) else None)]
 
     return each_image(_images(spark, d), "image_id string, n_regions long, area long, area_p5 double", f)
 
