@@ -290,3 +290,20 @@ def test_skeleton_counts():
     m[20, 5:35] = m[5:35, 20] = True
     counts = k.skeleton_counts(m)
     assert counts["endpoints"] == 4 and counts["hubs"] == 1 and counts["lines"] == 1
+
+
+@pytest.mark.parametrize("method", ["area", "linear", "cubic", "lanczos"])
+def test_resizing_keeps_flat_images_and_ramps(method):
+    assert np.allclose(k.resize(np.full((12, 9), 7.0), 20, 5, method), 7)
+    ramp = np.tile(np.arange(40.0), (3, 1))
+    up = k.resize(ramp, 3, 80, method)[0, 20:60]
+    assert np.abs(up - ((np.arange(20, 60) + 0.5) / 2 - 0.5)).max() < (0.5 if method == "area" else 0.02)
+    assert k.resize(np.arange(6).reshape(1, 6), 1, 3, "nearest").tolist() == [[0, 2, 4]]
+
+
+def test_meaningful_chains():
+    rng = np.random.default_rng(8)
+    m = rng.random((60, 60)) * 10
+    m[30, 5:55] = 100
+    strong, weak = np.c_[np.arange(5, 55), np.full(50, 30)], np.c_[np.arange(5, 55), np.full(50, 10)]
+    assert [c[0, 1] for c in styles.meaningful([strong, weak], m)] == [30]
