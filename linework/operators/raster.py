@@ -243,24 +243,25 @@ def smallest_mask(masks: DataFrame) -> DataFrame:
 
 def merge_small_regions(labels: DataFrame, value: str, least: int, rounds: int = 20, cut=None) -> DataFrame:
     """Regions smaller than ``least`` pixels join the touching region of the nearest mean, all of a round at once, until
-    none is small or has a neighbour. Ties go to the lowest label. ``cut`` keeps lineage short (a function of a frame)."""
-    now = labels
-    for k in range(rounds):
-        means = mean_per_label(now, value)
-        pairs = adjacency(now)
-        both = pairs.select("image_id", F.col("a").alias("label"), F.col("b").alias("other")).unionByName(pairs.select("image_id", F.col("b").alias("label"), F.col("a").alias("other")))
-        m = f"mean_{value}"
-        small = means.where(F.col("area") < least).select("image_id", "label", F.col(m).alias("own"))
-        near = both.join(small, ["image_id", "label"]).join(means.select("image_id", F.col("label").alias("other"), F.col(m).alias("its")), ["image_id", "other"])
-        to = near.groupBy("image_id", "label").agg(F.min_by("other", F.struct(F.abs(F.col("own") - F.col("its")), F.col("other"))).alias("to"))
-        if cut:
-            to = cut(to)
-            if to.isEmpty():
-                break
-        now = now.join(to, ["image_id", "label"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        if cut:
-            now = cut(now)
-    return now
+    none is small or has a neighbour. Ties go to the lowest label. Rounds work on the graph of regions, whose sums and
+    neighbours are made once; pixels are read for that and for the final names only. ``cut`` (a function of a
+    frame) keeps lineage short and tells when to stop."""
+    keep = cut or (lambda df: df)
+    sums = keep(labels.groupBy("image_id", "label").agg(F.sum(value).alias("s"), F.count("*").alias("n")))
+    pairs = keep(adjacency(labels))
+    names = sums.select("image_id", "label", F.col("label").alias("root"))
+    for _ in range(rounds):
+        root = lambda side: names.select("image_id", F.col("label").alias(side), F.col("root").alias(f"{side}_root"))
+        regions = sums.join(names, ["image_id", "label"]).groupBy("image_id", "root").agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+        touching = pairs.join(root("a"), ["image_id", "a"]).join(root("b"), ["image_id", "b"]).where("a_root <> b_root")
+        both = touching.select("image_id", F.explode(F.array(F.struct(F.col("a_root").alias("x"), F.col("b_root").alias("y")), F.struct(F.col("b_root").alias("x"), F.col("a_root").alias("y")))).alias("p")).select("image_id", "p.x", "p.y")
+        small = regions.where(F.col("n") < least).select("image_id", F.col("root").alias("x"), F.col("mean").alias("own"))
+        near = both.join(small, ["image_id", "x"]).join(regions.select("image_id", F.col("root").alias("y"), "mean"), ["image_id", "y"])
+        to = keep(near.groupBy("image_id", "x").agg(F.min_by("y", F.struct(F.abs(F.col("own") - F.col("mean")), F.col("y"))).alias("to")))
+        if cut and to.isEmpty():
+            break
+        names = keep(names.join(to.withColumnRenamed("x", "root"), ["image_id", "root"], "left").select("image_id", "label", F.coalesce("to", "root").alias("root")))
+    return labels.join(names, ["image_id", "label"]).withColumn("label", F.col("root")).drop("root").select(*labels.columns)
 
 
 def within_labels(pixels: DataFrame, kept: DataFrame) -> DataFrame:
