@@ -26,9 +26,9 @@ from .common import cut, mix64, table
 SCALES = (1.0, 0.7, 0.5)
 CORNERS = 32
 #: Of an indexed image the strongest so many corners go into the tables; queries have all of theirs.
-INDEXED = 12
+INDEXED = 8
 RADIUS = 7
-TURNS = 30
+TURNS = 32
 BITS = 256
 CHUNKS = 8
 #: Largest Hamming distance of a match, and matches that must agree.
