@@ -4,7 +4,8 @@ Corners are found at several scales; each gets an orientation from the centroid
 and 256 binary brightness tests in the frame turned by it. Descriptors are cut into chunks, and each
 chunk is a hash table of its own: two descriptors meet if some chunk of theirs is equal, which joins
 on (chunk, value) and then checks by the whole Hamming distance. Every match votes for a turn, a
-scale and a shift; a copy is a pair of images of which enough matches agree.
+scale and a shift; a copy is a pair of images of which enough matches agree. Images that are copies of each other form
+classes first, so that a search meets a group of copies once.
 
 The tables here hold no media files, so op7 renders each embedding to a raster, a third of the
 queries turned, all of them cropped, brightened and with a patch drawn over them.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, table
+from .components import components
 
 #: Sides of the pyramid's levels against the image, corners kept for an image, and the patch's radius.
 SCALES = (1.0, 0.7, 0.5)
@@ -204,28 +206,52 @@ def _chunks_asked(found: DataFrame, bits: np.ndarray) -> DataFrame:
     return found.mapInArrow(run, CORNER + ", chunk int, value long")
 
 
-def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
-    """query_id, image_id, n_agreeing, turn, scale of pairs of images of which at least ``least`` corners agree on
-    one similarity. Both sides are corners(). A pair of corners that meets in several tables counts once."""
-    q = _chunks(queries.select(*(F.col(c).alias(f"q_{c}") for c in ("image_id", "y", "x", "scale", "angle")), "d0", "d1", "d2", "d3"))
-    q = q.select("chunk", "value", "q_image_id", "q_y", "q_x", "q_scale", "q_angle", *(F.col(f"d{k}").alias(f"e{k}") for k in range(4)))
-    joined = q.join(_chunks_asked(found, _asked_bits(queries)), ["chunk", "value"])
-    apart = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"e{k}"))) for k in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("e0"))))
-    matches = joined.where(apart <= most_apart)
-    # the similarity that takes the query's corner to the image's
+GEOMETRY = ("image_id", "y", "x", "scale", "angle")
+
+
+def _agreeing(matches: DataFrame, least: int) -> DataFrame:
+    """query_id, image_id, n_agreeing, turn, scale of the pairs of which at least ``least`` corners agree on one similarity,
+    from corner matches with the query's columns prefixed by q_. A pair of corners that meets in several tables
+    counts once."""
     turn = F.col("angle") - F.col("q_angle")
     zoom = F.col("q_scale") / F.col("scale")
     dy = F.col("y") - zoom * (F.col("q_y") * F.cos(turn) + F.col("q_x") * F.sin(turn))
     dx = F.col("x") - zoom * (F.col("q_x") * F.cos(turn) - F.col("q_y") * F.sin(turn))
     places = F.round(F.pmod(turn, F.lit(2 * np.pi)) * (12 / (2 * np.pi))) % 12
     size = F.round(F.log(zoom) * 4)
-    # votes fall into two overlapping grids of shifts, so a bin's edge parts no agreeing matches
-    votes = matches.select("q_image_id", "image_id", places.alias("turn"), size.alias("size"), F.struct("q_y", "q_x").alias("corner"), F.explode(F.array(*(F.struct(F.floor(dy / SHIFT_BIN + a / 2).alias("ty"), F.floor(dx / SHIFT_BIN + b / 2).alias("tx"), F.lit(2 * a + b).alias("grid")) for a in (0, 1) for b in (0, 1)))).alias("s"))
+    # votes fall into two overlapping grids of shifts along each axis, so a bin's edge parts no agreeing matches
+    shifts = F.array(*(F.struct(F.floor(dy / SHIFT_BIN + a / 2).alias("ty"), F.floor(dx / SHIFT_BIN + b / 2).alias("tx"), F.lit(2 * a + b).alias("grid")) for a in (0, 1) for b in (0, 1)))
+    votes = matches.select("q_image_id", "image_id", places.alias("turn"), size.alias("size"), F.struct("q_y", "q_x", "q_scale").alias("corner"), F.explode(shifts).alias("s"))
     agreed = votes.groupBy("q_image_id", "image_id", "turn", "size", "s").agg(F.countDistinct("corner").alias("n"))
     best = agreed.where(F.col("n") >= least).groupBy("q_image_id", "image_id").agg(F.max(F.struct("n", "turn", "size")).alias("b"))
     return best.select(F.col("q_image_id").alias("query_id"), "image_id", F.col("b.n").alias("n_agreeing"), (F.col("b.turn") * (360 / 12)).alias("turn"), F.round(F.exp(F.col("b.size") / 4), 3).alias("scale"))
 
 
+def _apart(a: str, b: str):
+    one = lambda k: F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
+    return one(0) + one(1) + one(2) + one(3)
+
+
+def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
+    """The pairs of _agreeing() of queries and images; both sides are corners()."""
+    q = _chunks(queries.select(*(F.col(c).alias(f"q_{c}") for c in GEOMETRY), "d0", "d1", "d2", "d3"))
+    q = q.select("chunk", "value", *(f"q_{c}" for c in GEOMETRY), *(F.col(f"d{k}").alias(f"e{k}") for k in range(4)))
+    joined = q.join(_chunks_asked(found, _asked_bits(queries)), ["chunk", "value"])
+    return _agreeing(joined.where(_apart("d", "e") <= most_apart), least)
+
+
+def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
+    """(image_id, class_id) of images that are copies of others, the class being its smallest image_id. Each bucket of a
+    table has its smallest image as leader, and images are compared with leaders only, so the work is in proportion to the
+    corners, not to the square of a group."""
+    rows = _chunks(found)
+    leader = F.min_by(F.struct(*GEOMETRY, "d0", "d1", "d2", "d3"), F.struct("image_id", "y", "x", "scale")).alias("l")
+    leaders = rows.groupBy("chunk", "value").agg(leader, F.max("image_id").alias("last")).where(F.col("last") > F.col("l.image_id")).select("chunk", "value", *(F.col(f"l.{c}").alias(f"q_{c}") for c in GEOMETRY), *(F.col(f"l.d{k}").alias(f"e{k}") for k in range(4)))
+    met = rows.join(leaders, ["chunk", "value"]).where((F.col("image_id") > F.col("q_image_id")) & (_apart("d", "e") <= most_apart))
+    near = _agreeing(met, least).groupBy("image_id").agg(F.max_by("query_id", F.struct("n_agreeing", -F.col("query_id"))).alias("b"))
+    return components(near.select(F.col("image_id").alias("a"), "b")).select(F.col("node").alias("image_id"), F.col("root").alias("class_id"))
+
+
 SIDE = 64
 
 
@@ -266,19 +292,24 @@ def rendered(vectors: DataFrame, alter: bool = False) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, IMAGE)
 
 
-def searched(queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row for each query (vec_id): how many images are copies of it, the smallest of them, which stands for
-    their class, and the one that agrees best (ties: the smallest). Pairs are not listed, as a group of copies would give
-    the square of its size."""
+def searched(queries: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row for each query (vec_id): how many images are copies of it, the smallest class among them, and the image that
+    agrees best (ties: the smallest). Pairs are of queries and classes' first images, sizes (class_id, n) those of
+    classes of more than one; copies are not listed one by one, as a group of them would give the square of its size."""
     best = F.max_by(F.struct("image_id", "n_agreeing", "turn", "scale"), F.struct("n_agreeing", -F.col("image_id")))
-    found = pairs.groupBy("query_id").agg(F.count("*").alias("n_copies"), F.min("image_id").alias("class_id"), best.alias("b"))
+    sized = pairs.join(sizes.withColumnRenamed("class_id", "image_id"), "image_id", "left")
+    found = sized.groupBy("query_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_copies"), F.min("image_id").alias("class_id"), best.alias("b"))
     joined = queries.select(F.col("vec_id").alias("query_id")).join(found, "query_id", "left")
     return joined.select("query_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "class_id", F.col("b.image_id").alias("best_id"), F.col("b.n_agreeing").alias("best_agreeing"), F.col("b.turn").alias("turn"), F.col("b.scale").alias("scale"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Altered copies of every image whose id is divisible by 100, searched for among all images."""
+    """Altered copies of every image whose id is divisible by 100, searched for among all images. Images that are copies of
+    each other are one class, and its first image stands for it."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where("vec_id % 100 = 0")
     asked = cut(corners(rendered(queries, alter=True)), "asked")
-    return searched(queries, copies(asked, corners(rendered(vectors), INDEXED)))
+    every = cut(corners(rendered(vectors), INDEXED), "corners")
+    of = cut(classes(every), "classes")
+    firsts = every.join(of.where("image_id <> class_id").select("image_id"), "image_id", "left_anti")
+    return searched(queries, cut(copies(asked, firsts), "pairs"), of.groupBy("class_id").agg(F.count("*").alias("n")))

@@ -96,8 +96,13 @@ def test_altered_copies_are_found(spark):
     assert {(q, i) for q, i in got if q != i} == {(100, 11)}
     assert all(got[q, q].turn == (90 if q // 100 % 3 == 0 else 0) for q in found)
     assert media.copies(asked, every.where("false")).count() == 0
-    by_query = {r.query_id: r for r in media.searched(df.where("vec_id % 100 = 0"), media.copies(asked, every)).collect()}
+    of = media.classes(every)
+    assert {tuple(r) for r in of.collect()} == {(11, 11), (100, 11)}
+    firsts = every.join(of.where("image_id <> class_id"), "image_id", "left_anti")
+    sizes = of.groupBy("class_id").count().withColumnRenamed("count", "n")
+    by_query = {r.query_id: r for r in media.searched(df.where("vec_id % 100 = 0"), media.copies(asked, firsts), sizes).collect()}
     assert set(by_query) == queries and (by_query[100].n_copies, by_query[100].class_id, by_query[100].best_id) == (2, 11, 11)
+    assert {by_query[i].n_copies for i in found - {100}} == {1}
     # tables against comparing all descriptors
     def words(r):
         return np.array([r.d0, r.d1, r.d2, r.d3])
