@@ -37,6 +37,8 @@ CHUNKS = 8
 MOST_APART = 48
 LEAST_AGREEING = 3
 SHIFT_BIN = 8.0
+#: Tables that classes of copies are formed by: images that are nearly equal agree in most, so a few do.
+CLASS_TABLES = 3
 #: Bits of the filter that keeps chunks no query has out of the shuffle.
 FILTER_BITS = 1 << 24
 
@@ -244,7 +246,7 @@ def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_A
     """(image_id, class_id) of images that are copies of others, the class being its smallest image_id. Each bucket of a
     table has its smallest image as leader, and images are compared with leaders only, so the work is in proportion to the
     corners, not to the square of a group."""
-    rows = _chunks(found)
+    rows = _chunks(found).where(F.col("chunk") < CLASS_TABLES)
     leader = F.min_by(F.struct(*GEOMETRY, "d0", "d1", "d2", "d3"), F.struct("image_id", "y", "x", "scale")).alias("l")
     leaders = rows.groupBy("chunk", "value").agg(leader, F.max("image_id").alias("last")).where(F.col("last") > F.col("l.image_id")).select("chunk", "value", *(F.col(f"l.{c}").alias(f"q_{c}") for c in GEOMETRY), *(F.col(f"l.d{k}").alias(f"e{k}") for k in range(4)))
     met = rows.join(leaders, ["chunk", "value"]).where((F.col("image_id") > F.col("q_image_id")) & (_apart("d", "e") <= most_apart))
