@@ -34,7 +34,7 @@ TURNS = 32
 BITS = 256
 CHUNKS = 8
 #: Largest Hamming distance of a match, and matches that must agree.
-MOST_APART = 48
+MOST_APART = 24
 LEAST_AGREEING = 3
 SHIFT_BIN = 8.0
 #: Tables that classes of copies are formed by: images that are nearly equal agree in most, so a few do.
