@@ -295,9 +295,9 @@ def rendered(vectors: DataFrame, alter: bool = False) -> DataFrame:
 
 
 def searched(queries: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """A row for each query (vec_id): how many images are copies of it, the smallest class among them, and the image that
+    """A summary of the pairs, which op7 lists: a row for each query (vec_id): how many images are copies of it, the smallest class among them, and the image that
     agrees best (ties: the smallest). Pairs are of queries and classes' first images, sizes (class_id, n) those of
-    classes of more than one; copies are not listed one by one, as a group of them would give the square of its size."""
+    classes of more than one."""
     best = F.max_by(F.struct("image_id", "n_agreeing", "turn", "scale"), F.struct("n_agreeing", -F.col("image_id")))
     sized = pairs.join(sizes.withColumnRenamed("class_id", "image_id"), "image_id", "left")
     found = sized.groupBy("query_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_copies"), F.min("image_id").alias("class_id"), best.alias("b"))
@@ -305,13 +305,24 @@ def searched(queries: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFram
     return joined.select("query_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "class_id", F.col("b.image_id").alias("best_id"), F.col("b.n_agreeing").alias("best_agreeing"), F.col("b.turn").alias("turn"), F.col("b.scale").alias("scale"))
 
 
+def listed(queries: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """What a search found, as rows of two kinds. ``query``: a row for each query (vec_id) and each image of pairs that is a
+    copy of it, with the image's class; a query without copies has one row of nulls. ``member``: (image_id, class_id) of
+    members, the images in classes of more than one; any other image is its own class. So rows are as many as pairs and
+    images, and no copy is without a name."""
+    in_class = pairs.join(members.select("image_id", "class_id"), "image_id", "left").withColumn("class_id", F.coalesce("class_id", "image_id"))
+    found = queries.select(F.col("vec_id").alias("query_id")).join(in_class, "query_id", "left")
+    out = found.select(F.lit("query").alias("kind"), "query_id", "image_id", "class_id", "n_agreeing", "turn", "scale")
+    return out.unionByName(members.select(F.lit("member").alias("kind"), "image_id", "class_id"), allowMissingColumns=True)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Altered copies of every image whose id is divisible by 100, searched for among all images. Images that are copies of
-    each other are one class, and its first image stands for it."""
+    each other are one class, and its first image stands for it; listed() says what the rows are."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where("vec_id % 100 = 0")
     asked = cut(corners(rendered(queries, alter=True)), "asked")
     every = cut(corners(rendered(vectors), INDEXED), "corners")
     of = cut(classes(every), "classes")
     firsts = every.join(of.where("image_id <> class_id").select("image_id"), "image_id", "left_anti")
-    return searched(queries, cut(copies(asked, firsts), "pairs"), of.groupBy("class_id").agg(F.count("*").alias("n")))
+    return listed(queries, cut(copies(asked, firsts), "pairs"), of)
