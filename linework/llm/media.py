@@ -27,8 +27,8 @@ from .components import components
 #: Sides of the pyramid's levels against the image, corners kept for an image, and the patch's radius.
 SCALES = (1.0, 0.7, 0.5)
 CORNERS = 32
-#: Of an indexed image the strongest so many corners go into the tables; queries have all of theirs.
-INDEXED = 8
+#: Corners of an indexed image that go into the tables: all, as an alteration may hide any of them.
+INDEXED = CORNERS
 RADIUS = 7
 TURNS = 32
 BITS = 256

@@ -29,3 +29,23 @@ def test_op7_names_all_copies(spark, tmp_path):
     got = media.op7(spark, str(tmp_path)).collect()
     assert {(r.query_id, r.class_id) for r in got if r.kind == "query"} == {(100, 11), (200, 200)}
     assert {(r.image_id, r.class_id) for r in got if r.kind == "member"} == {(11, 11), (100, 11), (205, 11)}
+
+
+def hidden(a):
+    """All but the lower right quarter of a raster is cut off, and a patch covers a corner of the rest."""
+    c = a[24:, 20:].copy()
+    c[-10:, -10:] = 128
+    return c
+
+
+def test_large_crops_are_found():
+    """Votes of all corners of a crop and an image; with the eight strongest of the image too few are left."""
+    found, strongest = 0, 0
+    e = np.random.default_rng(5).normal(size=(40, 64)).astype(np.float32)
+    for a in media.render(e):
+        q = media.describe(hidden(a)[None])[5].view(np.uint64)
+        for most in (media.INDEXED, 8):
+            d = media.describe(a[None], most)[5].view(np.uint64)
+            n = int((np.bitwise_count(q[:, None] ^ d[None]).sum(2) <= media.MOST_APART).any(1).sum())
+            found, strongest = found + (most != 8 and n >= media.LEAST_AGREEING), strongest + (most == 8 and n >= media.LEAST_AGREEING)
+    assert found >= 36 > strongest
