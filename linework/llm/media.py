@@ -4,8 +4,8 @@ Corners are found at several scales; each gets an orientation from the centroid
 and 256 binary brightness tests in the frame turned by it. Descriptors are cut into chunks, and each
 chunk is a hash table of its own: two descriptors meet if some chunk of theirs is equal, which joins
 on (chunk, value) and then checks by the whole Hamming distance. Every match votes for a turn, a
-scale and a shift; a copy is a pair of images of which enough matches agree. Images that are copies of each other form
-classes first, so that a search meets a group of copies once.
+scale and a shift; a copy is a pair of images of which enough matches agree. Images of equal corners are one set, whose
+first image is searched for all; images that are copies of each other form classes, which are listed beside.
 
 The tables here hold no media files, so op7 renders each embedding to a raster, a third of the
 queries turned, all of them cropped, brightened and with a patch drawn over them.
@@ -16,6 +16,9 @@ rows match each other as copies; null entries of an embedding count as 0; an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +40,8 @@ CHUNKS = 8
 MOST_APART = 24
 LEAST_AGREEING = 3
 SHIFT_BIN = 8.0
-#: Tables that classes of copies are formed by: images that are nearly equal agree in most, so a few do.
-CLASS_TABLES = 3
+#: Tables that classes are formed by at once; each part's shuffle files go before the next.
+TABLES_AT_ONCE = 2
 #: Bits of the filter that keeps chunks no query has out of the shuffle.
 FILTER_BITS = 1 << 24
 
@@ -158,9 +161,9 @@ def corners(images: DataFrame, most: int = CORNERS) -> DataFrame:
     return images.select("image_id", "height", "width", "data").mapInArrow(run, CORNER)
 
 
-def _chunks(found: DataFrame) -> DataFrame:
+def _chunks(found: DataFrame, which: Iterable[int] = range(CHUNKS)) -> DataFrame:
     """A row for each chunk of each descriptor: which chunk, and its value."""
-    parts = [F.struct(F.lit(2 * k + half).alias("chunk"), F.shiftright(F.col(f"d{k}") if half else F.shiftleft(f"d{k}", 32), 32).alias("value")) for k in range(4) for half in (0, 1)]
+    parts = [F.struct(F.lit(c).alias("chunk"), F.shiftright(F.col(f"d{c // 2}") if c % 2 else F.shiftleft(f"d{c // 2}", 32), 32).alias("value")) for c in which]
     return found.withColumn("part", F.explode(F.array(*parts))).select("*", "part.chunk", "part.value").drop("part")
 
 
@@ -245,13 +248,26 @@ def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, l
 def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
     """(image_id, class_id) of images that are copies of others, the class being its smallest image_id. Each bucket of a
     table has its smallest image as leader, and images are compared with leaders only, so the work is in proportion to the
-    corners, not to the square of a group."""
-    rows = _chunks(found).where(F.col("chunk") < CLASS_TABLES)
+    corners, not to the square of a group. All links to leaders count. The tables are taken a few at a time."""
     leader = F.min_by(F.struct(*GEOMETRY, "d0", "d1", "d2", "d3"), F.struct("image_id", "y", "x", "scale")).alias("l")
-    leaders = rows.groupBy("chunk", "value").agg(leader, F.max("image_id").alias("last")).where(F.col("last") > F.col("l.image_id")).select("chunk", "value", *(F.col(f"l.{c}").alias(f"q_{c}") for c in GEOMETRY), *(F.col(f"l.d{k}").alias(f"e{k}") for k in range(4)))
-    met = rows.join(leaders, ["chunk", "value"]).where((F.col("image_id") > F.col("q_image_id")) & (_apart("d", "e") <= most_apart))
-    near = _agreeing(met, least).groupBy("image_id").agg(F.max_by("query_id", F.struct("n_agreeing", -F.col("query_id"))).alias("b"))
-    return components(near.select(F.col("image_id").alias("a"), "b")).select(F.col("node").alias("image_id"), F.col("root").alias("class_id"))
+    parts = []
+    for at in range(0, CHUNKS, TABLES_AT_ONCE):
+        rows = _chunks(found, range(at, at + TABLES_AT_ONCE))
+        leaders = rows.groupBy("chunk", "value").agg(leader, F.max("image_id").alias("last")).where(F.col("last") > F.col("l.image_id")).select("chunk", "value", *(F.col(f"l.{c}").alias(f"q_{c}") for c in GEOMETRY), *(F.col(f"l.d{k}").alias(f"e{k}") for k in range(4)))
+        met = rows.join(leaders, ["chunk", "value"]).where((F.col("image_id") > F.col("q_image_id")) & (_apart("d", "e") <= most_apart))
+        parts.append(cut(met.select(*GEOMETRY, *(f"q_{c}" for c in GEOMETRY)), "met"))
+    links = _agreeing(reduce(DataFrame.unionByName, parts), least)
+    return components(links.select(F.col("image_id").alias("a"), F.col("query_id").alias("b"))).select(F.col("node").alias("image_id"), F.col("root").alias("class_id"))
+
+
+def sets(found: DataFrame) -> DataFrame:
+    """(image_id, set_id) of images whose corners all equal another's, up to collisions of 64-bit hashes; the set is its
+    smallest image_id. Whatever is a copy of one of a set is a copy of all in it, in the same way."""
+    h = F.xxhash64(*GEOMETRY[1:], "d0", "d1", "d2", "d3")
+    marks = found.where("image_id is not null").groupBy("image_id").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x"))
+    marks = cut(marks, "marks")
+    shared = marks.groupBy("n", "s", "x").agg(F.min("image_id").alias("set_id"), F.max("image_id").alias("last")).where("last > set_id").drop("last")
+    return marks.join(shared, ["n", "s", "x"]).select("image_id", "set_id")
 
 
 SIDE = 64
@@ -305,24 +321,34 @@ def searched(queries: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFram
     return joined.select("query_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "class_id", F.col("b.image_id").alias("best_id"), F.col("b.n_agreeing").alias("best_agreeing"), F.col("b.turn").alias("turn"), F.col("b.scale").alias("scale"))
 
 
+def grouped(same: DataFrame, near: DataFrame) -> DataFrame:
+    """(image_id, set_id, class_id) of the images in sets or classes of more than one, from sets() and the classes() of the
+    sets' first images."""
+    joined = same.join(near.select(F.col("image_id").alias("set_id"), "class_id"), "set_id", "left")
+    firsts = near.join(same.select("image_id"), "image_id", "left_anti")
+    return joined.select("image_id", "set_id", F.coalesce("class_id", "set_id").alias("class_id")).unionByName(firsts.select("image_id", F.col("image_id").alias("set_id"), "class_id"))
+
+
 def listed(queries: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
     """What a search found, as rows of two kinds. ``query``: a row for each query (vec_id) and each image of pairs that is a
-    copy of it, with the image's class; a query without copies has one row of nulls. ``member``: (image_id, class_id) of
-    members, the images in classes of more than one; any other image is its own class. So rows are as many as pairs and
-    images, and no copy is without a name."""
+    copy of it, with the image's class; a query without copies has one row of nulls. ``member``: the rows of members
+    (image_id, class_id, further columns), the images in classes of more than one; any other image is its own class. So rows
+    are as many as pairs and images, and no copy is without a name."""
     in_class = pairs.join(members.select("image_id", "class_id"), "image_id", "left").withColumn("class_id", F.coalesce("class_id", "image_id"))
     found = queries.select(F.col("vec_id").alias("query_id")).join(in_class, "query_id", "left")
     out = found.select(F.lit("query").alias("kind"), "query_id", "image_id", "class_id", "n_agreeing", "turn", "scale")
-    return out.unionByName(members.select(F.lit("member").alias("kind"), "image_id", "class_id"), allowMissingColumns=True)
+    return out.unionByName(members.select(F.lit("member").alias("kind"), *members.columns), allowMissingColumns=True)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Altered copies of every image whose id is divisible by 100, searched for among all images. Images that are copies of
-    each other are one class, and its first image stands for it; listed() says what the rows are."""
+    """Altered copies of every image whose id is divisible by 100, searched for among all images. Images of equal corners
+    are one set and its first image stands for it; every other image is compared itself. listed() says what the rows are;
+    members have the columns of grouped()."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where("vec_id % 100 = 0")
     asked = cut(corners(rendered(queries, alter=True)), "asked")
     every = cut(corners(rendered(vectors), INDEXED), "corners")
-    of = cut(classes(every), "classes")
-    firsts = every.join(of.where("image_id <> class_id").select("image_id"), "image_id", "left_anti")
-    return listed(queries, cut(copies(asked, firsts), "pairs"), of)
+    same = cut(sets(every), "sets")
+    distinct = every.join(same.where("image_id <> set_id").select("image_id"), "image_id", "left_anti")
+    pairs = cut(copies(asked, distinct), "pairs")
+    return listed(queries, pairs, cut(grouped(same, classes(distinct)), "members"))

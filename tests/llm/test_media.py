@@ -49,3 +49,30 @@ def test_large_crops_are_found():
             n = int((np.bitwise_count(q[:, None] ^ d[None]).sum(2) <= media.MOST_APART).any(1).sum())
             found, strongest = found + (most != 8 and n >= media.LEAST_AGREEING), strongest + (most == 8 and n >= media.LEAST_AGREEING)
     assert found >= 36 > strongest
+
+
+def test_a_query_meets_members_that_the_first_of_their_class_hides(spark, tmp_path):
+    """From 1 to 300 each is near the next, but 1 and the query made of 300 share too few corners."""
+    a, b = BASE[3], RNG.normal(size=64)
+    mixed = lambda t: a * (1 - t) + b * t
+    rows = [(i, mixed(t)) for i, t in ((1, 0.0), (2, 0.06), (3, 0.12), (4, 0.18), (5, 0.24), (300, 0.30), (8, 0.30))]
+    vectors_of(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = media.op7(spark, str(tmp_path)).collect()
+    members = {r.image_id: (r.set_id, r.class_id) for r in got if r.kind == "member"}
+    assert members == {1: (1, 1), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (5, 1), 8: (8, 1), 300: (8, 1)}
+    found = {r.image_id for r in got if r.kind == "query" and r.query_id == 300}
+    assert 8 in found and 1 not in found
+    assert {r.class_id for r in got if r.kind == "query"} == {1}
+
+
+def corner(image, k, word, y=20.0):
+    return (image, y, 10.0 + 3 * k, 1.0, 0.0, word, word, word, word)
+
+
+def test_all_links_to_leaders_count(spark):
+    """10 agrees with 1 and with 2, which do not agree: all three are one class."""
+    rows = [corner(1, k, 1000 + k) for k in range(4)] + [corner(2, k, 2000 + 7 * k) for k in range(4)]
+    rows += [corner(10, k, 1000 + k) for k in range(4)] + [corner(10, k, 2000 + 7 * k, 40.0) for k in range(4)]
+    found = spark.createDataFrame(rows, media.CORNER)
+    assert {tuple(r) for r in media.classes(found).collect()} == {(1, 1), (2, 1), (10, 1)}
+    assert {tuple(r) for r in media.sets(found).collect()} == set()
