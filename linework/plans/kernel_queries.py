@@ -71,6 +71,18 @@ def distance_transform(spark, d):
     return each_image(_images(spark, d), "image_id string, y int, x int, distance double", f)
 
 
+@query(f"""WITH {RASTER_SQL}, ink AS (SELECT image_id, y, x FROM raster WHERE v < 48)
+  SELECT r.image_id::VARCHAR AS image_id, r.y, r.x, round(sqrt(min((r.y - i.y) * (r.y - i.y) + (r.x - i.x) * (r.x - i.x))::DOUBLE), 6) AS distance FROM raster r LEFT JOIN ink i ON r.image_id = i.image_id GROUP BY 1, 2, 3""")
+def distance_map(spark, d):
+    """Exact distance of every pixel to ink, null in an image without ink."""
+
+    def f(image_id, a):
+        dist = kernels.distance(a >= 48)
+        return ((*r[:3], r[3] if np.isfinite(r[3]) else None) for r in _pixel_rows(image_id, np.round(dist, 6)))
+
+    return each_image(_images(spark, d), "image_id string, y int, x int, distance double", f)
+
+
 @query(f"""WITH RECURSIVE {RASTER_SQL}, ink AS (SELECT image_id, y, x, y * 64 + x AS id FROM raster WHERE v < 24),
   near AS (SELECT a.image_id, a.id AS a, b.id AS b FROM ink a JOIN ink b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
   reach AS (SELECT image_id, id AS a, id AS b FROM ink UNION SELECT r.image_id, r.a, n.b FROM reach r JOIN near n ON r.image_id = n.image_id AND r.b = n.a),
