@@ -190,7 +190,7 @@ def smoothing(spark, d):
     def f(i, a):
         g = a.astype(float)
         b3 = np.dstack([g, g, g])
-        yield i, *(round(float(np.abs(s - g).mean()), 6) for s in (kernels.gaussian(g, 1.5), kernels.bilateral(g), kernels.l0_smooth(g), kernels.rolling_guidance(g, rounds=1), kernels.mean_shift(b3, 2, 20, 2)[..., 0]))
+        yield i, *(round(float(np.abs(s - g).mean()), 6) for s in (kernels.gaussian(g, 1.5), kernels.bilateral(g), kernels.l0_smooth(g), kernels.rolling_guidance(g), kernels.mean_shift(b3, 2, 20)[..., 0]))
 
     return each_image(_images(spark, d), "image_id string, gaussian double, bilateral double, l0 double, rolling double, mean_shift double", f)
 
