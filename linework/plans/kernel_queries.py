@@ -256,6 +256,14 @@ def zonal_confidence(spark, d):
     return rop.zonal_confidence(p, zones).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"""WITH {RASTER_SQL} SELECT image_id, (y // 8)::INT AS path_id, round(255 - avg(v), 6) AS confidence FROM raster GROUP BY 1, 2""")
+def band_confidence(spark, d):
+    """Darkness under zones of all pixels of eight rows."""
+    p = raster(spark, d)
+    zones = p.select("image_id", F.floor(F.col("y") / 8).cast("int").alias("path_id"), "y", "x")
+    return rop.zonal_confidence(p, zones).withColumn("confidence", F.round("confidence", 6))
+
+
 @query()
 def style_comparison(spark, d):
     """The derived colour images in two styles, with the metrics of a comparison table."""
