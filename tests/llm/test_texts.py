@@ -194,11 +194,11 @@ def test_packing_in_several_tasks(spark):
 # --- near duplicates
 
 
-def brute_groups(pairs):
+def brute_groups(pairs, width=3, percent=90):
     sets = []
     for _, t in pairs:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
     root = list(range(len(pairs)))
 
     def find(x):
@@ -209,7 +209,7 @@ def brute_groups(pairs):
     for i in range(len(pairs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 90 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}
@@ -224,9 +224,14 @@ def test_groups_of_odd_rows(docs_of, odd_pairs):
     assert jaccard_join.jaccard_groups(docs_of([])).count() == 0
 
 
-def test_groups_near_the_threshold(docs_of, monkeypatch):
+@pytest.mark.parametrize("pivots,small,rounds", [(512, 64, 3), (0, 4, 1), (6, 4, 3)])
+def test_groups_near_the_threshold(docs_of, monkeypatch, pivots, small, rounds):
+    """All documents are pivots; none, so the regions do it all; a few."""
     monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [f"p{i}" for i in range(12)]
     pairs = []
@@ -239,9 +244,61 @@ def test_groups_near_the_threshold(docs_of, monkeypatch):
                 own[k : k + RNG.randint(0, 1)] = [RNG.choice(vocabulary)]
             pairs.append((len(pairs) * 7 % 1000, " ".join(own)))
     pairs += [(1000 + k, " ".join(passage + [RNG.choice(vocabulary) for _ in range(20)])) for k in range(20)]
-    want = brute_groups(pairs)
-    assert 20 < len({w[2] for w in want}) < len(pairs) - 10
-    assert rows(jaccard_join.jaccard_groups(docs_of(pairs))) == want
+    for width, percent in ((3, 90), (5, 80)):
+        want = brute_groups(pairs, width, percent)
+        assert 20 < len({w[2] for w in want}) < len(pairs) - 10
+        assert rows(jaccard_join.jaccard_groups(docs_of(pairs), width, percent)) == want
+
+
+def test_distances_to_pivots():
+    """Against sets of numbers; within() gives all up to the reach, the nearest first."""
+    sets = [np.unique(np.array([RNG.randrange(60) for _ in range(RNG.randint(1, 40))], np.uint64)) for _ in range(50)]
+    made = jaccard_join.Pivots(sets)
+    by_key = {jaccard_join.set_key(s): set(s.tolist()) for s in sets}
+    for s in sets:
+        p, c, d = made.within(s, 0.7)
+        want = {k: 1 - len(x & set(s.tolist())) / len(x | set(s.tolist())) for k, x in by_key.items()}
+        assert {int(made.keys[i]) for i in p} == {k for k, v in want.items() if v <= 0.7}
+        assert all(abs(want[int(made.keys[i])] - x) < 1e-12 for i, x in zip(p, d, strict=True)) and (np.diff(d) >= 0).all()
+
+
+@pytest.mark.parametrize("pivots", [512, 0])
+def test_a_large_family_takes_linear_work(spark, monkeypatch, pivots):
+    """Thousands of different texts near each other, and a chain of which only neighbours link: candidates are counted."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    n = 4000
+    base = [f"v{i}" for i in range(120)]
+    pairs = [(i, " ".join(base + [f"a{i}", f"b{i}"])) for i in range(n)]
+    chain = [f"c{i}" for i in range(400)]
+    pairs += [(10_000 + i, " ".join(chain[2 * i : 2 * i + 100])) for i in range(150)]
+    counts = []
+    checked = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda tried, *a: (counts.append(tried.count()), checked(tried, *a))[1])
+    compared = []
+    compare = jaccard_join._compare
+    monkeypatch.setattr(jaccard_join, "_compare", lambda r, *a: (compared.append(r.count()), compare(r, *a))[1])
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(docs).collect()}
+    assert all(got[i] == 0 for i in range(n)) and all(got[10_000 + i] == 10_000 for i in range(150))
+    assert sum(counts) < 12 * n  # of 8 million pairs
+    assert sum(compared) < 40 * n  # rows in groups of at most SMALL or BLOCK
+
+
+def test_a_set_that_only_rows_without_an_id_have_links(docs_of):
+    base = [f"w{i}" for i in range(100)]
+    texts_ = [base, base[:-4] + ["x", "y", "z", "q"], base[4:-4] + ["x", "y", "z", "q", "r", "s"]]
+    pairs = [(2, " ".join(texts_[0])), (None, " ".join(texts_[1])), (1, " ".join(texts_[2]))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(docs_of(pairs)).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(docs_of([pairs[0], pairs[2]])).collect()} == {1: 1, 2: 2}
+    assert [r.doc_id for r in jaccard_join.keep_one(docs_of(pairs)).collect()] == [1]
+
+
+def test_one_of_each_group_by_row(docs_of):
+    """A doc_id of two texts: only the row that stands for its group stays."""
+    t, u = "a b c d e", "k l m n o p"
+    got = jaccard_join.keep_one(docs_of([(1, t), (3, t), (3, u), (None, t), (None, "q r s t"), (None, "q r s t")]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == [(1, t), (3, u), (None, "q r s t")]
 
 
 def test_one_of_each_group(docs_of, odd_pairs):
