@@ -224,7 +224,7 @@ def test_groups_of_odd_rows(docs_of, odd_pairs):
     assert jaccard_join.jaccard_groups(docs_of([])).count() == 0
 
 
-@pytest.mark.parametrize("pivots,small,rounds", [(512, 64, 3), (0, 4, 1), (6, 4, 3)])
+@pytest.mark.parametrize("pivots,small,rounds", [(512, 64, 2), (0, 4, 1), (6, 4, 2)])
 def test_groups_near_the_threshold(docs_of, monkeypatch, pivots, small, rounds):
     """All documents are pivots; none, so the regions do it all; a few."""
     monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
