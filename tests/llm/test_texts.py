@@ -229,6 +229,7 @@ def test_groups_near_the_threshold(docs_of, monkeypatch, pivots, small, rounds):
     """All documents are pivots; none, so the regions do it all; a few."""
     monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SPLIT", 12)
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
