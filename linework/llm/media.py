@@ -42,6 +42,8 @@ LEAST_AGREEING = 3
 SHIFT_BIN = 8.0
 #: Tables that classes are formed by at once; each part's shuffle files go before the next.
 TABLES_AT_ONCE = 2
+#: A chunk that more than this share of the rows has, and so many rows, is dealt to several tasks.
+HOT_SHARE, HOT_LEAST = 0.001, 4096
 #: Bits of the filter that keeps chunks no query has out of the shuffle.
 FILTER_BITS = 1 << 24
 
@@ -237,12 +239,24 @@ def _apart(a: str, b: str):
     return one(0) + one(1) + one(2) + one(3)
 
 
+def _spread(few: DataFrame, many: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The join of two tables on ``keys`` where a key may have very many rows of ``many``, which is read twice: pass a
+    table. Such a key's rows are dealt by ``by`` to several tasks, each with the key's rows of ``few``. A key counts as hot beyond
+    a share of all rows, so hot keys are at most 1 / HOT_SHARE and may be broadcast."""
+    size = max(HOT_LEAST, int(many.count() * HOT_SHARE))
+    hot = F.broadcast(many.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > size).select(*keys, F.ceil(F.col("rows") / size).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    few = few.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    many = many.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*by), salts)).drop("salts")
+    return few.join(many, [*keys, "salt"]).drop("salt")
+
+
 def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
     """The pairs of _agreeing() of queries and images; both sides are corners()."""
     q = _chunks(queries.select(*(F.col(c).alias(f"q_{c}") for c in GEOMETRY), "d0", "d1", "d2", "d3"))
     q = q.select("chunk", "value", *(f"q_{c}" for c in GEOMETRY), *(F.col(f"d{k}").alias(f"e{k}") for k in range(4)))
-    joined = q.join(_chunks_asked(found, _asked_bits(queries)), ["chunk", "value"])
-    return _agreeing(joined.where(_apart("d", "e") <= most_apart), least)
+    asked = cut(_chunks_asked(found, _asked_bits(queries)), "asked")
+    return _agreeing(_spread(q, asked, ["chunk", "value"], ["image_id"]).where(_apart("d", "e") <= most_apart), least)
 
 
 def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
@@ -310,17 +324,6 @@ def rendered(vectors: DataFrame, alter: bool = False) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, IMAGE)
 
 
-def searched(queries: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """A summary of the pairs, which op7 lists: a row for each query (vec_id): how many images are copies of it, the smallest class among them, and the image that
-    agrees best (ties: the smallest). Pairs are of queries and classes' first images, sizes (class_id, n) those of
-    classes of more than one."""
-    best = F.max_by(F.struct("image_id", "n_agreeing", "turn", "scale"), F.struct("n_agreeing", -F.col("image_id")))
-    sized = pairs.join(sizes.withColumnRenamed("class_id", "image_id"), "image_id", "left")
-    found = sized.groupBy("query_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_copies"), F.min("image_id").alias("class_id"), best.alias("b"))
-    joined = queries.select(F.col("vec_id").alias("query_id")).join(found, "query_id", "left")
-    return joined.select("query_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "class_id", F.col("b.image_id").alias("best_id"), F.col("b.n_agreeing").alias("best_agreeing"), F.col("b.turn").alias("turn"), F.col("b.scale").alias("scale"))
-
-
 def grouped(same: DataFrame, near: DataFrame) -> DataFrame:
     """(image_id, set_id, class_id) of the images in sets or classes of more than one, from sets() and the classes() of the
     sets' first images."""
@@ -330,20 +333,23 @@ def grouped(same: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def listed(queries: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """What a search found, as rows of two kinds. ``query``: a row for each query (vec_id) and each image of pairs that is a
-    copy of it, with the image's class; a query without copies has one row of nulls. ``member``: the rows of members
-    (image_id, class_id, further columns), the images in classes of more than one; any other image is its own class. So rows
-    are as many as pairs and images, and no copy is without a name."""
+    """What a search found, as rows of two kinds. ``query``: a row for each query (vec_id) and each class that holds a copy of
+    it: how many images of the class are copies of the query itself, and the one that agrees best (ties: the smallest); a query
+    without copies has one row of nulls. ``member``: the rows of members (image_id, class_id, further columns), the images in
+    classes of more than one; any other image is its own class. So rows grow with queries and images, not with the square
+    of a class, and every copy is named by its class."""
     in_class = pairs.join(members.select("image_id", "class_id"), "image_id", "left").withColumn("class_id", F.coalesce("class_id", "image_id"))
-    found = queries.select(F.col("vec_id").alias("query_id")).join(in_class, "query_id", "left")
-    out = found.select(F.lit("query").alias("kind"), "query_id", "image_id", "class_id", "n_agreeing", "turn", "scale")
+    best = F.max_by(F.struct("image_id", "n_agreeing", "turn", "scale"), F.struct("n_agreeing", -F.col("image_id"))).alias("b")
+    by_class = in_class.groupBy("query_id", "class_id").agg(F.count("*").alias("n_images"), best).select("query_id", "class_id", "n_images", "b.*")
+    found = queries.select(F.col("vec_id").alias("query_id")).join(by_class, "query_id", "left")
+    out = found.select(F.lit("query").alias("kind"), "query_id", "class_id", "n_images", "image_id", "n_agreeing", "turn", "scale")
     return out.unionByName(members.select(F.lit("member").alias("kind"), *members.columns), allowMissingColumns=True)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Altered copies of every image whose id is divisible by 100, searched for among all images. Images of equal corners
-    are one set and its first image stands for it; every other image is compared itself. listed() says what the rows are;
-    members have the columns of grouped()."""
+    are one set and its first image stands for it; every other image is compared itself. Rows are those of
+    listed(), members with the columns of grouped(). All pairs of queries and images are found; their rows name the class."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where("vec_id % 100 = 0")
     asked = cut(corners(rendered(queries, alter=True)), "asked")

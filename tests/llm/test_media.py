@@ -12,13 +12,13 @@ def vectors_of(spark, rows):
     return spark.createDataFrame([(i, np.asarray(v).tolist()) for i, v in rows], "vec_id long, embedding array<double>")
 
 
-def test_every_pair_and_member_is_listed(spark):
+def test_every_class_and_member_is_listed(spark):
     queries = vectors_of(spark, [(100, BASE[0]), (200, BASE[1])])
-    pairs = spark.createDataFrame([(100, 3, 5, 0.0, 1.0), (100, 40, 9, 0.0, 1.0), (100, 60, 4, 0.0, 1.0)], "query_id long, image_id long, n_agreeing long, turn double, scale double")
+    pairs = spark.createDataFrame([(100, 3, 5, 0.0, 1.0), (100, 40, 9, 0.0, 1.0), (100, 42, 9, 0.0, 1.0), (100, 60, 4, 0.0, 1.0)], "query_id long, image_id long, n_agreeing long, turn double, scale double")
     members = spark.createDataFrame([(3, 3), (4, 3), (40, 40), (41, 40), (42, 40)], "image_id long, class_id long")
     got = media.listed(queries, pairs, members).collect()
-    asked = {(r.query_id, r.image_id, r.class_id, r.n_agreeing) for r in got if r.kind == "query"}
-    assert asked == {(100, 3, 3, 5), (100, 40, 40, 9), (100, 60, 60, 4), (200, None, None, None)}
+    asked = {(r.query_id, r.class_id, r.n_images, r.image_id, r.n_agreeing) for r in got if r.kind == "query"}
+    assert asked == {(100, 3, 1, 3, 5), (100, 40, 2, 40, 9), (100, 60, 1, 60, 4), (200, None, None, None, None)}
     assert {(r.image_id, r.class_id) for r in got if r.kind == "member"} == {(3, 3), (4, 3), (40, 40), (41, 40), (42, 40)}
     assert len(got) == 9
 
@@ -60,8 +60,8 @@ def test_a_query_meets_members_that_the_first_of_their_class_hides(spark, tmp_pa
     got = media.op7(spark, str(tmp_path)).collect()
     members = {r.image_id: (r.set_id, r.class_id) for r in got if r.kind == "member"}
     assert members == {1: (1, 1), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (5, 1), 8: (8, 1), 300: (8, 1)}
-    found = {r.image_id for r in got if r.kind == "query" and r.query_id == 300}
-    assert 8 in found and 1 not in found
+    found = [(r.class_id, r.image_id, r.n_images) for r in got if r.kind == "query" and r.query_id == 300]
+    assert len(found) == 1 and found[0][:2] == (1, 8) and 1 < found[0][2] < 7
     assert {r.class_id for r in got if r.kind == "query"} == {1}
 
 
@@ -76,3 +76,67 @@ def test_all_links_to_leaders_count(spark):
     found = spark.createDataFrame(rows, media.CORNER)
     assert {tuple(r) for r in media.classes(found).collect()} == {(1, 1), (2, 1), (10, 1)}
     assert {tuple(r) for r in media.sets(found).collect()} == set()
+
+
+def brute_pairs(q, d, most_apart=media.MOST_APART, least=media.LEAST_AGREEING):
+    """(query, image) by comparing every descriptor of q with every one of d, with the votes of _agreeing() in plain loops."""
+    out = set()
+    (qi, qy, qx, qs, qa, qw), (di, dy, dx, ds, da, dw) = q, d
+    for i in np.unique(qi):
+        for j in np.unique(di):
+            a, b = np.flatnonzero(qi == i), np.flatnonzero(di == j)
+            near = np.bitwise_count(qw[a][:, None].view(np.uint64) ^ dw[b][None].view(np.uint64)).sum(2) <= most_apart
+            votes = {}
+            for u, v in zip(*np.nonzero(near), strict=True):
+                u, v = a[u], b[v]
+                turn, zoom = da[v] - qa[u], qs[u] / ds[v]
+                ty = dy[v] - zoom * (qy[u] * np.cos(turn) + qx[u] * np.sin(turn))
+                tx = dx[v] - zoom * (qx[u] * np.cos(turn) - qy[u] * np.sin(turn))
+                place, size = int(np.floor(turn % (2 * np.pi) * 12 / (2 * np.pi) + 0.5)) % 12, round(np.log(zoom) * 4)
+                for s in (0, 0.5):
+                    for t in (0, 0.5):
+                        votes.setdefault((place, size, s, t, np.floor(ty / media.SHIFT_BIN + s), np.floor(tx / media.SHIFT_BIN + t)), set()).add(u)
+            if any(len(x) >= least for x in votes.values()):
+                out.add((int(i), int(j)))
+    return out
+
+
+def test_search_and_classes_against_all_pairs(spark, tmp_path):
+    """Families of edited copies among strangers: recall of pairs, and of images' classes, against comparing every descriptor."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for family in range(12):
+        e = rng.normal(size=64)
+        rows += [(family * 100 + k, e + rng.normal(size=64) * (0.0, 0.01, 0.03, 0.06)[k % 4]) for k in range(6)]
+    rows += [(5000 + k, rng.normal(size=64)) for k in range(60)]
+    vectors = vectors_of(spark, rows)
+    queries = vectors.where("vec_id % 100 = 0")
+    asked, every = (media.corners(media.rendered(v, alter)) for v, alter in ((queries, True), (vectors, False)))
+    as_arrays = lambda df: (lambda t: (t.image_id.to_numpy(), t.y.to_numpy(), t.x.to_numpy(), t.scale.to_numpy(), t.angle.to_numpy(), t[["d0", "d1", "d2", "d3"]].to_numpy()))(df.toPandas())
+    q, d = as_arrays(asked), as_arrays(every)
+    want = brute_pairs(q, d)
+    got = {(r.query_id, r.image_id) for r in media.copies(media.cut(asked, "q"), media.cut(every, "d")).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 50
+    assert all(i // 100 == j // 100 for i, j in want)
+    links = {p for p in brute_pairs(d, d) if p[0] < p[1]}
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = media.op7(spark, str(tmp_path)).collect()
+    of = {r.image_id: r.class_id for r in out if r.kind == "member"}
+    alike = sum(of.get(i, i) == r for i, r in root.items())
+    assert alike >= 0.98 * len(root)
+    classes = {(i, root[j]) for i, j in want}
+    assert len({(r.query_id, r.class_id) for r in out if r.kind == "query" and r.class_id is not None} & classes) >= 0.98 * len(classes)
+
+
+def test_hot_chunks_are_dealt_to_several_tasks(spark, monkeypatch):
+    """A join with a key of very many rows gives the rows of a plain one."""
+    monkeypatch.setattr(media, "HOT_LEAST", 8)
+    many = media.cut(spark.range(400).selectExpr("cast(if(id < 300, 0, id % 7) as int) chunk", "id % 3 value", "id image_id"), "many")
+    few = spark.createDataFrame([(c, v, f"{c}{v}") for c in range(7) for v in range(3)], "chunk int, value long, name string")
+    plain = few.join(many, ["chunk", "value"])
+    got = media._spread(few, many, ["chunk", "value"], ["image_id"])
+    assert sorted(map(tuple, got.select("chunk", "value", "name", "image_id").collect())) == sorted(map(tuple, plain.select("chunk", "value", "name", "image_id").collect()))
