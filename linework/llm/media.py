@@ -5,7 +5,8 @@ and 256 binary brightness tests in the frame turned by it. Descriptors are cut i
 chunk is a hash table of its own: two descriptors meet if some chunk of theirs is equal, which joins
 on (chunk, value) and then checks by the whole Hamming distance. Every match votes for a turn, a
 scale and a shift; a copy is a pair of images of which enough matches agree. Images of equal corners are one set, whose
-first image is searched for all; images that are copies of each other form classes, which are listed beside.
+first image is searched for all; images that are copies of each other form classes, which are listed beside, and whose
+corners vote together.
 
 The tables here hold no media files, so op7 renders each embedding to a raster, a third of the
 queries turned, all of them cropped, brightened and with a patch drawn over them.
@@ -21,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, table
@@ -36,6 +37,9 @@ RADIUS = 7
 TURNS = 32
 BITS = 256
 CHUNKS = 8
+#: Tables are of windows of so many bits that begin every 32: values of 32 bits are shared by chance so often that 2.8 times as many
+#: entries meet a query, for the same copies found.
+CHUNK_BITS = 40
 #: Largest Hamming distance of a match, and matches that must agree.
 MOST_APART = 24
 LEAST_AGREEING = 3
@@ -140,6 +144,7 @@ def describe(images: np.ndarray, most: int = CORNERS) -> tuple[np.ndarray, ...]:
 
 
 CORNER = "image_id long, y double, x double, scale double, angle double, d0 long, d1 long, d2 long, d3 long"
+CORNER_COLUMNS = [c.split()[0] for c in CORNER.split(", ")]
 
 
 def corners(images: DataFrame, most: int = CORNERS) -> DataFrame:
@@ -158,20 +163,29 @@ def corners(images: DataFrame, most: int = CORNERS) -> DataFrame:
                     part = some[at : at + 128]
                     i, y, x, s, angle, words = describe(np.stack([a for _, a in part]), most)
                     own = pa.array([part[k][0] for k in i.tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([own, *map(pa.array, (y, x, s, angle)), *(pa.array(words[:, k]) for k in range(4))], names=[c.split()[0] for c in CORNER.split(", ")])
+                    yield pa.RecordBatch.from_arrays([own, *map(pa.array, (y, x, s, angle)), *(pa.array(words[:, k]) for k in range(4))], names=CORNER_COLUMNS)
 
     return images.select("image_id", "height", "width", "data").mapInArrow(run, CORNER)
 
 
 def _chunks(found: DataFrame, which: Iterable[int] = range(CHUNKS)) -> DataFrame:
     """A row for each chunk of each descriptor: which chunk, and its value."""
-    parts = [F.struct(F.lit(c).alias("chunk"), F.shiftright(F.col(f"d{c // 2}") if c % 2 else F.shiftleft(f"d{c // 2}", 32), 32).alias("value")) for c in which]
+    low, high = F.lit((1 << CHUNK_BITS) - 1), F.lit((1 << (CHUNK_BITS - 32)) - 1)
+    odd = lambda k: F.shiftrightunsigned(f"d{k}", 32).bitwiseOR(F.shiftleft(F.col(f"d{(k + 1) % 4}").bitwiseAND(high), 32))
+    parts = [F.struct(F.lit(c).alias("chunk"), (odd(c // 2) if c % 2 else F.col(f"d{c // 2}").bitwiseAND(low)).alias("value")) for c in which]
     return found.withColumn("part", F.explode(F.array(*parts))).select("*", "part.chunk", "part.value").drop("part")
 
 
-def _places(words: np.ndarray) -> np.ndarray:
-    """(n, CHUNKS) places of the chunks of descriptors (n, 4) in the filter."""
-    values = words.view(np.uint32).reshape(len(words), CHUNKS).astype(np.uint64)
+def _values(words: np.ndarray) -> np.ndarray:
+    """The same of descriptors (n, 4): values (n, CHUNKS)."""
+    w = words.view(np.uint64)
+    even = w & np.uint64((1 << CHUNK_BITS) - 1)
+    odd = (w >> np.uint64(32)) | ((np.roll(w, -1, 1) & np.uint64((1 << (CHUNK_BITS - 32)) - 1)) << np.uint64(32))
+    return np.stack([even, odd], 2).reshape(len(w), CHUNKS)
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """Places in the filter of chunk values (n, CHUNKS)."""
     return (mix64(values * np.uint64(CHUNKS) + np.arange(CHUNKS, dtype=np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
@@ -182,7 +196,7 @@ def _asked_bits(queries: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                p = np.unique(_places(_words(batch)))
+                p = np.unique(_places(_values(_words(batch))))
                 yield pa.RecordBatch.from_arrays([pa.array(p // 64), pa.array(np.left_shift(np.int64(1), p % 64))], names=["w", "bit"])
 
     got = queries.select("d0", "d1", "d2", "d3").mapInArrow(run, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
@@ -203,10 +217,10 @@ def _chunks_asked(found: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = _words(batch)
-            p = _places(words)
+            values = _values(_words(batch))
+            p = _places(values)
             row, chunk = np.nonzero(shared.value[p // 64] >> (p % 64) & 1)
-            value = words.view(np.int32).reshape(len(words), CHUNKS)[row, chunk].astype(np.int64)
+            value = values[row, chunk].astype(np.int64)
             some = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(chunk.astype(np.int32)), pa.array(value)], names=[*batch.schema.names, "chunk", "value"])
 
@@ -216,10 +230,10 @@ def _chunks_asked(found: DataFrame, bits: np.ndarray) -> DataFrame:
 GEOMETRY = ("image_id", "y", "x", "scale", "angle")
 
 
-def _agreeing(matches: DataFrame, least: int) -> DataFrame:
-    """query_id, image_id, n_agreeing, turn, scale of the pairs of which at least ``least`` corners agree on one similarity,
+def _agreeing(matches: DataFrame, least: int, holder: Column | str = "holder") -> DataFrame:
+    """query_id, image_id, holder, n_agreeing, turn, scale of the pairs of which at least ``least`` corners agree on one similarity,
     from corner matches with the query's columns prefixed by q_. A pair of corners that meets in several tables
-    counts once."""
+    counts once. The holder is the smallest image in which corners of the best agreement lie."""
     turn = F.col("angle") - F.col("q_angle")
     zoom = F.col("q_scale") / F.col("scale")
     dy = F.col("y") - zoom * (F.col("q_y") * F.cos(turn) + F.col("q_x") * F.sin(turn))
@@ -228,10 +242,10 @@ def _agreeing(matches: DataFrame, least: int) -> DataFrame:
     size = F.round(F.log(zoom) * 4)
     # votes fall into two overlapping grids of shifts along each axis, so a bin's edge parts no agreeing matches
     shifts = F.array(*(F.struct(F.floor(dy / SHIFT_BIN + a / 2).alias("ty"), F.floor(dx / SHIFT_BIN + b / 2).alias("tx"), F.lit(2 * a + b).alias("grid")) for a in (0, 1) for b in (0, 1)))
-    votes = matches.select("q_image_id", "image_id", places.alias("turn"), size.alias("size"), F.struct("q_y", "q_x", "q_scale").alias("corner"), F.explode(shifts).alias("s"))
-    agreed = votes.groupBy("q_image_id", "image_id", "turn", "size", "s").agg(F.countDistinct("corner").alias("n"))
-    best = agreed.where(F.col("n") >= least).groupBy("q_image_id", "image_id").agg(F.max(F.struct("n", "turn", "size")).alias("b"))
-    return best.select(F.col("q_image_id").alias("query_id"), "image_id", F.col("b.n").alias("n_agreeing"), (F.col("b.turn") * (360 / 12)).alias("turn"), F.round(F.exp(F.col("b.size") / 4), 3).alias("scale"))
+    votes = matches.select("q_image_id", "image_id", holder, places.alias("turn"), size.alias("size"), F.struct("q_y", "q_x", "q_scale").alias("corner"), F.explode(shifts).alias("s"))
+    agreed = votes.groupBy("q_image_id", "image_id", "turn", "size", "s").agg(F.countDistinct("corner").alias("n"), F.min("holder").alias("holder"))
+    best = agreed.where(F.col("n") >= least).groupBy("q_image_id", "image_id").agg(F.max(F.struct("n", "turn", "size", -F.col("holder"))).alias("b"))
+    return best.select(F.col("q_image_id").alias("query_id"), "image_id", (-F.col("b.col4")).alias("holder"), F.col("b.n").alias("n_agreeing"), (F.col("b.turn") * (360 / 12)).alias("turn"), F.round(F.exp(F.col("b.size") / 4), 3).alias("scale"))
 
 
 def _apart(a: str, b: str):
@@ -251,12 +265,26 @@ def _spread(few: DataFrame, many: DataFrame, keys: list[str], by: list[str]) ->
     return few.join(many, [*keys, "salt"]).drop("salt")
 
 
-def copies(queries: DataFrame, found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
-    """The pairs of _agreeing() of queries and images; both sides are corners()."""
+def _one_for_all(entries: DataFrame, members: DataFrame) -> DataFrame:
+    """Table entries (image_id, chunk, value, corner) named by class, holder being the image they are of. Of entries of one class with
+    the same value, place and angle one stands for all: they would cast the same vote. So a class of very many near copies
+    has about as many entries as one of few."""
+    of = entries.join(members.select("image_id", "class_id"), "image_id", "left")
+    alone = of.where("class_id is null").withColumn("holder", F.col("image_id")).drop("class_id")
+    cells = [F.round(F.col("y")).alias("cy"), F.round(F.col("x")).alias("cx"), F.round(F.col("angle") * (12 / (2 * np.pi))).alias("ca")]
+    one = F.min_by(F.struct(*CORNER_COLUMNS), F.struct("image_id", "y", "x", "angle")).alias("e")
+    shared = of.where("class_id is not null").groupBy("class_id", "chunk", "value", "scale", *cells).agg(one)
+    return alone.unionByName(shared.select(F.col("e.image_id").alias("holder"), F.col("class_id").alias("image_id"), "chunk", "value", *(f"e.{c}" for c in CORNER_COLUMNS if c != "image_id")))
+
+
+def copies(queries: DataFrame, found: DataFrame, members: DataFrame | None = None, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
+    """The pairs of _agreeing() of queries and images; both sides are corners(). With ``members`` (image_id, class_id) images
+    of one class are searched as one: image_id is the class then, whose images' corners vote together."""
     q = _chunks(queries.select(*(F.col(c).alias(f"q_{c}") for c in GEOMETRY), "d0", "d1", "d2", "d3"))
     q = q.select("chunk", "value", *(f"q_{c}" for c in GEOMETRY), *(F.col(f"d{k}").alias(f"e{k}") for k in range(4)))
-    asked = cut(_chunks_asked(found, _asked_bits(queries)), "asked")
-    return _agreeing(_spread(q, asked, ["chunk", "value"], ["image_id"]).where(_apart("d", "e") <= most_apart), least)
+    entries = _chunks_asked(found, _asked_bits(queries))
+    entries = cut(entries.withColumn("holder", F.col("image_id")) if members is None else _one_for_all(entries, members), "entries")
+    return _agreeing(_spread(q, entries, ["chunk", "value"], ["holder"]).where(_apart("d", "e") <= most_apart), least)
 
 
 def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
@@ -270,7 +298,7 @@ def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_A
         leaders = rows.groupBy("chunk", "value").agg(leader, F.max("image_id").alias("last")).where(F.col("last") > F.col("l.image_id")).select("chunk", "value", *(F.col(f"l.{c}").alias(f"q_{c}") for c in GEOMETRY), *(F.col(f"l.d{k}").alias(f"e{k}") for k in range(4)))
         met = rows.join(leaders, ["chunk", "value"]).where((F.col("image_id") > F.col("q_image_id")) & (_apart("d", "e") <= most_apart))
         parts.append(cut(met.select(*GEOMETRY, *(f"q_{c}" for c in GEOMETRY)), "met"))
-    links = _agreeing(reduce(DataFrame.unionByName, parts), least)
+    links = _agreeing(reduce(DataFrame.unionByName, parts), least, F.col("image_id").alias("holder"))
     return components(links.select(F.col("image_id").alias("a"), F.col("query_id").alias("b"))).select(F.col("node").alias("image_id"), F.col("root").alias("class_id"))
 
 
@@ -333,28 +361,25 @@ def grouped(same: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def listed(queries: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """What a search found, as rows of two kinds. ``query``: a row for each query (vec_id) and each class that holds a copy of
-    it: how many images of the class are copies of the query itself, and the one that agrees best (ties: the smallest); a query
-    without copies has one row of nulls. ``member``: the rows of members (image_id, class_id, further columns), the images in
-    classes of more than one; any other image is its own class. So rows grow with queries and images, not with the square
-    of a class, and every copy is named by its class."""
-    in_class = pairs.join(members.select("image_id", "class_id"), "image_id", "left").withColumn("class_id", F.coalesce("class_id", "image_id"))
-    best = F.max_by(F.struct("image_id", "n_agreeing", "turn", "scale"), F.struct("n_agreeing", -F.col("image_id"))).alias("b")
-    by_class = in_class.groupBy("query_id", "class_id").agg(F.count("*").alias("n_images"), best).select("query_id", "class_id", "n_images", "b.*")
+    """What a search by classes found, as rows of two kinds. ``query``: a row for each query (vec_id) and each class that holds a copy of
+    it, image_id being one that does; a query without copies has one row of nulls. ``member``: the rows of members (image_id,
+    class_id, further columns), the images in classes of more than one; any other image is its own class. So rows grow
+    with queries and images, not with the square of a class, and every copy is named by its class."""
+    by_class = pairs.select("query_id", F.col("image_id").alias("class_id"), F.col("holder").alias("image_id"), "n_agreeing", "turn", "scale")
     found = queries.select(F.col("vec_id").alias("query_id")).join(by_class, "query_id", "left")
-    out = found.select(F.lit("query").alias("kind"), "query_id", "class_id", "n_images", "image_id", "n_agreeing", "turn", "scale")
+    out = found.select(F.lit("query").alias("kind"), "query_id", "class_id", "image_id", "n_agreeing", "turn", "scale")
     return out.unionByName(members.select(F.lit("member").alias("kind"), *members.columns), allowMissingColumns=True)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Altered copies of every image whose id is divisible by 100, searched for among all images. Images of equal corners
-    are one set and its first image stands for it; every other image is compared itself. Rows are those of
-    listed(), members with the columns of grouped(). All pairs of queries and images are found; their rows name the class."""
+    are one set and its first image stands for it; the corners of all other images are in the tables, those of a
+    class together. Rows are those of listed(), members with the columns of grouped()."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where("vec_id % 100 = 0")
     asked = cut(corners(rendered(queries, alter=True)), "asked")
     every = cut(corners(rendered(vectors), INDEXED), "corners")
     same = cut(sets(every), "sets")
     distinct = every.join(same.where("image_id <> set_id").select("image_id"), "image_id", "left_anti")
-    pairs = cut(copies(asked, distinct), "pairs")
-    return listed(queries, pairs, cut(grouped(same, classes(distinct)), "members"))
+    members = cut(grouped(same, classes(distinct)), "members")
+    return listed(queries, cut(copies(asked, distinct, members), "pairs"), members)
