@@ -1,8 +1,8 @@
 """Media columns: copies of images by local descriptors.
 
 Corners are found at several scales; each gets an orientation from the centroid of its surroundings
-and 256 binary brightness tests in the frame turned by it. Descriptors are cut into chunks, and each
-chunk is a hash table of its own: two descriptors meet if some chunk of theirs is equal, which joins
+and 256 binary brightness tests in the frame turned by it. Windows of its bits are chunks, and each
+place of a window is a hash table of its own: two descriptors meet if some chunk of theirs is equal, which joins
 on (chunk, value) and then checks by the whole Hamming distance. Every match votes for a turn, a
 scale and a shift; a copy is a pair of images of which enough matches agree. Images of equal corners are one set, whose
 first image is searched for all; images that are copies of each other form classes, which are listed beside, and whose
@@ -36,10 +36,11 @@ INDEXED = CORNERS
 RADIUS = 7
 TURNS = 32
 BITS = 256
-CHUNKS = 8
-#: Tables are of windows of so many bits that begin every 32: values of 32 bits are shared by chance so often that 2.8 times as many
-#: entries meet a query, for the same copies found.
-CHUNK_BITS = 40
+#: Tables are of windows of so many bits that begin every CHUNK_STEP, the last ones round the end. Neighbouring tests are alike, so narrow
+#: windows are often equal by chance: of 32 bits 4.9 % of all entries meet one of 60 queries, of 40 bits 1.8 %, of 48 bits 0.8 %.
+CHUNK_BITS, CHUNK_STEP = 48, 24
+STARTS = range(0, BITS, CHUNK_STEP)
+CHUNKS = len(STARTS)
 #: Largest Hamming distance of a match, and matches that must agree.
 MOST_APART = 24
 LEAST_AGREEING = 3
@@ -170,18 +171,28 @@ def corners(images: DataFrame, most: int = CORNERS) -> DataFrame:
 
 def _chunks(found: DataFrame, which: Iterable[int] = range(CHUNKS)) -> DataFrame:
     """A row for each chunk of each descriptor: which chunk, and its value."""
-    low, high = F.lit((1 << CHUNK_BITS) - 1), F.lit((1 << (CHUNK_BITS - 32)) - 1)
-    odd = lambda k: F.shiftrightunsigned(f"d{k}", 32).bitwiseOR(F.shiftleft(F.col(f"d{(k + 1) % 4}").bitwiseAND(high), 32))
-    parts = [F.struct(F.lit(c).alias("chunk"), (odd(c // 2) if c % 2 else F.col(f"d{c // 2}").bitwiseAND(low)).alias("value")) for c in which]
+    mask = F.lit((1 << CHUNK_BITS) - 1)
+
+    def value(start: int):
+        word, off = divmod(start, 64)
+        here = F.shiftrightunsigned(f"d{word}", off)
+        return (here if off + CHUNK_BITS <= 64 else here.bitwiseOR(F.shiftleft(f"d{(word + 1) % 4}", 64 - off))).bitwiseAND(mask)
+
+    parts = [F.struct(F.lit(c).alias("chunk"), value(STARTS[c]).alias("value")) for c in which]
     return found.withColumn("part", F.explode(F.array(*parts))).select("*", "part.chunk", "part.value").drop("part")
 
 
 def _values(words: np.ndarray) -> np.ndarray:
     """The same of descriptors (n, 4): values (n, CHUNKS)."""
     w = words.view(np.uint64)
-    even = w & np.uint64((1 << CHUNK_BITS) - 1)
-    odd = (w >> np.uint64(32)) | ((np.roll(w, -1, 1) & np.uint64((1 << (CHUNK_BITS - 32)) - 1)) << np.uint64(32))
-    return np.stack([even, odd], 2).reshape(len(w), CHUNKS)
+    out = np.empty((len(w), CHUNKS), np.uint64)
+    for c, start in enumerate(STARTS):
+        word, off = divmod(start, 64)
+        v = w[:, word] >> np.uint64(off)
+        if off + CHUNK_BITS > 64:
+            v = v | (w[:, (word + 1) % 4] << np.uint64(64 - off))
+        out[:, c] = v & np.uint64((1 << CHUNK_BITS) - 1)
+    return out
 
 
 def _places(values: np.ndarray) -> np.ndarray:
@@ -294,7 +305,7 @@ def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_A
     leader = F.min_by(F.struct(*GEOMETRY, "d0", "d1", "d2", "d3"), F.struct("image_id", "y", "x", "scale")).alias("l")
     parts = []
     for at in range(0, CHUNKS, TABLES_AT_ONCE):
-        rows = _chunks(found, range(at, at + TABLES_AT_ONCE))
+        rows = _chunks(found, range(at, min(CHUNKS, at + TABLES_AT_ONCE)))
         leaders = rows.groupBy("chunk", "value").agg(leader, F.max("image_id").alias("last")).where(F.col("last") > F.col("l.image_id")).select("chunk", "value", *(F.col(f"l.{c}").alias(f"q_{c}") for c in GEOMETRY), *(F.col(f"l.d{k}").alias(f"e{k}") for k in range(4)))
         met = rows.join(leaders, ["chunk", "value"]).where((F.col("image_id") > F.col("q_image_id")) & (_apart("d", "e") <= most_apart))
         parts.append(cut(met.select(*GEOMETRY, *(f"q_{c}" for c in GEOMETRY)), "met"))

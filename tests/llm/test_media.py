@@ -162,10 +162,12 @@ def test_a_class_of_many_near_copies_has_few_entries(spark):
     assert [r.image_id for r in got] == [1] and got[0].n_agreeing >= media.LEAST_AGREEING
 
 
-def test_windows_of_words():
-    """Chunk values made by Spark's rule and by numpy's are bits 32 c to 32 c + CHUNK_BITS of the descriptor, round the end."""
+def test_windows_of_words(spark):
+    """Chunk values made by Spark's rule and by numpy's are CHUNK_BITS of the descriptor from STARTS[c] on, round the end."""
     words = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, (20, 4))
     bits = np.unpackbits(words.view(np.uint8).reshape(20, 32), axis=1, bitorder="little")
     for c in range(media.CHUNKS):
-        own = bits[:, np.arange(32 * c, 32 * c + media.CHUNK_BITS) % 256]
+        own = bits[:, np.arange(media.STARTS[c], media.STARTS[c] + media.CHUNK_BITS) % 256]
         assert (media._values(words)[:, c] == (own * (np.uint64(1) << np.arange(media.CHUNK_BITS, dtype=np.uint64))).sum(1)).all()
+    made = media._chunks(spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "image_id long, d0 long, d1 long, d2 long, d3 long")).collect()
+    assert len(made) == 20 * media.CHUNKS and all(media._values(words)[r.image_id, r.chunk] == r.value for r in made)
