@@ -276,16 +276,15 @@ def _spread(few: DataFrame, many: DataFrame, keys: list[str], by: list[str]) ->
     return few.join(many, [*keys, "salt"]).drop("salt")
 
 
-def _one_for_all(entries: DataFrame, members: DataFrame) -> DataFrame:
-    """Table entries (image_id, chunk, value, corner) named by class, holder being the image they are of. Of entries of one class with
-    the same value, place and angle one stands for all: they would cast the same vote. So a class of very many near copies
-    has about as many entries as one of few."""
-    of = entries.join(members.select("image_id", "class_id"), "image_id", "left")
-    alone = of.where("class_id is null").withColumn("holder", F.col("image_id")).drop("class_id")
+def _one_for_all(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Table entries (image_id, chunk, value, holder, corner) of the corners of images in classes, named by class, holder being the
+    image they are of. Of entries of one class with the same value, place and angle one stands for all: they would cast
+    the same vote. So a class of very many near copies has about as many entries as one of few."""
+    entries = _chunks(found.join(members.select("image_id", "class_id"), "image_id"))
     cells = [F.round(F.col("y")).alias("cy"), F.round(F.col("x")).alias("cx"), F.round(F.col("angle") * (12 / (2 * np.pi))).alias("ca")]
     one = F.min_by(F.struct(*CORNER_COLUMNS), F.struct("image_id", "y", "x", "angle")).alias("e")
-    shared = of.where("class_id is not null").groupBy("class_id", "chunk", "value", "scale", *cells).agg(one)
-    return alone.unionByName(shared.select(F.col("e.image_id").alias("holder"), F.col("class_id").alias("image_id"), "chunk", "value", *(f"e.{c}" for c in CORNER_COLUMNS if c != "image_id")))
+    shared = entries.groupBy("class_id", "chunk", "value", "scale", *cells).agg(one)
+    return shared.select(F.col("class_id").alias("image_id"), F.col("e.image_id").alias("holder"), "chunk", "value", *(f"e.{c}" for c in CORNER_COLUMNS if c != "image_id"))
 
 
 def copies(queries: DataFrame, found: DataFrame, members: DataFrame | None = None, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:
@@ -293,9 +292,11 @@ def copies(queries: DataFrame, found: DataFrame, members: DataFrame | None = Non
     of one class are searched as one: image_id is the class then, whose images' corners vote together."""
     q = _chunks(queries.select(*(F.col(c).alias(f"q_{c}") for c in GEOMETRY), "d0", "d1", "d2", "d3"))
     q = q.select("chunk", "value", *(f"q_{c}" for c in GEOMETRY), *(F.col(f"d{k}").alias(f"e{k}") for k in range(4)))
-    entries = _chunks_asked(found, _asked_bits(queries))
-    entries = cut(entries.withColumn("holder", F.col("image_id")) if members is None else _one_for_all(entries, members), "entries")
-    return _agreeing(_spread(q, entries, ["chunk", "value"], ["holder"]).where(_apart("d", "e") <= most_apart), least)
+    alone = found if members is None else found.join(members.select("image_id"), "image_id", "left_anti").select(*CORNER_COLUMNS)
+    entries = _chunks_asked(alone, _asked_bits(queries)).withColumn("holder", F.col("image_id"))
+    if members is not None:
+        entries = entries.unionByName(_one_for_all(found, members))
+    return _agreeing(_spread(q, cut(entries, "entries"), ["chunk", "value"], ["holder"]).where(_apart("d", "e") <= most_apart), least)
 
 
 def classes(found: DataFrame, most_apart: int = MOST_APART, least: int = LEAST_AGREEING) -> DataFrame:

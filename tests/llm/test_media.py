@@ -155,9 +155,8 @@ def test_a_class_of_many_near_copies_has_few_entries(spark):
     members = media.cut(media.classes(found), "m")
     assert members.count() == 200 and members.select("class_id").distinct().count() == 1
     asked = media.cut(media.corners(media.rendered(vectors.where("vec_id = 100"), True)), "q")
-    entries = media._chunks_asked(found, media._asked_bits(asked))
-    few = media._one_for_all(entries, members).count()
-    assert few < entries.count() / 8
+    few, many = media._one_for_all(found, members).count(), found.count() * media.CHUNKS
+    assert few < many / 8
     got = media.copies(asked, found, members).collect()
     assert [r.image_id for r in got] == [1] and got[0].n_agreeing >= media.LEAST_AGREEING
 
