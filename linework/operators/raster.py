@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 
 
 def along_row():
@@ -241,14 +242,14 @@ def smallest_mask(masks: DataFrame) -> DataFrame:
     return masks.groupBy("image_id", "y", "x").agg(F.min_by("mask_id", F.struct("area", -F.col("mask_id"))).alias("mask_id"))
 
 
-def merge_small_regions(labels: DataFrame, value: str, least: int, rounds: int = 20, cut=None) -> DataFrame:
+def merge_small_regions(labels: DataFrame, value: str, least: int, rounds: int = 20, cut=kept) -> DataFrame:
     """Regions smaller than ``least`` pixels join the touching region of the nearest mean, all of a round at once, until
-    none is small or has a neighbour. Ties go to the lowest label. Rounds work on the graph of regions, whose sums and
+    none is small or has a neighbour. Ties go to the lowest label. Two regions that choose each other both take the lower
+    label; otherwise they would only swap names for ever. Rounds work on the graph of regions, whose sums and
     neighbours are made once; pixels are read for that and for the final names only. ``cut`` (a function of a
-    frame) keeps lineage short and tells when to stop."""
-    keep = cut or (lambda df: df)
-    sums = keep(labels.groupBy("image_id", "label").agg(F.sum(value).alias("s"), F.count("*").alias("n")))
-    pairs = keep(adjacency(labels))
+    frame) keeps lineage short."""
+    sums = cut(labels.groupBy("image_id", "label").agg(F.sum(value).alias("s"), F.count("*").alias("n")))
+    pairs = cut(adjacency(labels))
     names = sums.select("image_id", "label", F.col("label").alias("root"))
     for _ in range(rounds):
         root = lambda side: names.select("image_id", F.col("label").alias(side), F.col("root").alias(f"{side}_root"))
@@ -257,10 +258,12 @@ def merge_small_regions(labels: DataFrame, value: str, least: int, rounds: int =
         both = touching.select("image_id", F.explode(F.array(F.struct(F.col("a_root").alias("x"), F.col("b_root").alias("y")), F.struct(F.col("b_root").alias("x"), F.col("a_root").alias("y")))).alias("p")).select("image_id", "p.x", "p.y")
         small = regions.where(F.col("n") < least).select("image_id", F.col("root").alias("x"), F.col("mean").alias("own"))
         near = both.join(small, ["image_id", "x"]).join(regions.select("image_id", F.col("root").alias("y"), "mean"), ["image_id", "y"])
-        to = keep(near.groupBy("image_id", "x").agg(F.min_by("y", F.struct(F.abs(F.col("own") - F.col("mean")), F.col("y"))).alias("to")))
-        if cut and to.isEmpty():
+        to = cut(near.groupBy("image_id", "x").agg(F.min_by("y", F.struct(F.abs(F.col("own") - F.col("mean")), F.col("y"))).alias("to")))
+        if to.isEmpty():
             break
-        names = keep(names.join(to.withColumnRenamed("x", "root"), ["image_id", "root"], "left").select("image_id", "label", F.coalesce("to", "root").alias("root")))
+        its = to.select("image_id", F.col("x").alias("to"), F.col("to").alias("back"))
+        to = to.join(its, ["image_id", "to"], "left").select("image_id", F.col("x").alias("root"), F.when(F.col("back") == F.col("x"), F.least("x", "to")).otherwise(F.col("to")).alias("to"))
+        names = cut(names.join(to, ["image_id", "root"], "left").select("image_id", "label", F.coalesce("to", "root").alias("root")))
     return labels.join(names, ["image_id", "label"]).withColumn("label", F.col("root")).drop("root").select(*labels.columns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,12 @@ def profiles(json: Column) -> Column:
 
 
 def stage_funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """How many rows of each image survive each stage: (image_id, seq, stage, n)."""
-    out = None
-    for seq, (name, df) in enumerate(stages):
-        part = df.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.lit(seq).alias("seq"), F.lit(name).alias("stage"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """How many rows of each image survive each stage: (image_id, seq, stage, n). The images are those of any stage; where none
+    of an image's rows survive, n is 0."""
+    counted = reduce(DataFrame.unionByName, (df.groupBy("image_id").agg(F.count("*").alias("n")).withColumn("seq", F.lit(seq)) for seq, (_, df) in enumerate(stages)))
+    every = counted.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("seq", "n"))).alias("m"))  # one entry for each stage
+    rows = every.withColumn("s", F.explode(literal_rows([(seq, name) for seq, (name, _) in enumerate(stages)], "seq int, stage string")))
+    return rows.select("image_id", "s.seq", "s.stage", F.coalesce(F.try_element_at("m", F.col("s.seq")), F.lit(0).cast("long")).alias("n"))
 
 
 def write_csv(metrics: DataFrame, folder: str) -> None:

@@ -19,6 +19,10 @@ class ModelMissing(RuntimeError):
     """The style needs a network that the caller did not give."""
 
 
+class EngineUnavailable(RuntimeError):
+    """A library that the caller's network needs is not there; functions that load networks raise it."""
+
+
 @dataclass
 class Drawing:
     paths: list[tuple[np.ndarray, bool]]
@@ -236,16 +240,33 @@ def region(image: np.ndarray, segmentation: str = "mean_shift", detection: str =
 # --- styles on a network given by the caller
 
 
-def _response(image: np.ndarray, model: Callable | None, resolution: int | None = None) -> np.ndarray:
-    """The model's gray response to the image, its shorter side brought to ``resolution``, in the image's own size."""
+def by_short_side(h: int, w: int, resolution: int, multiple: int = 64) -> tuple[int, int, int, int]:
+    """Height and width of what a network sees, and of its part that is image: the shorter side near ``resolution``, both
+    rounded to multiples, each by itself."""
+    h, w = (max(multiple, round(x * resolution / min(h, w) / multiple) * multiple) for x in (h, w))
+    return h, w, h, w
+
+
+def by_long_side(h: int, w: int, resolution: int, multiple: int = 256) -> tuple[int, int, int, int]:
+    """The same with the longer side at ``resolution`` and the rest up to the next multiples for a mirrored border."""
+    own = [max(1, round(x * resolution / max(h, w))) for x in (h, w)]
+    return *(-(-x // multiple) * multiple for x in own), *own
+
+
+def _response(image: np.ndarray, model: Callable | None, resolution: int | None = None, sized: Callable = by_short_side) -> np.ndarray:
+    """The model's gray response to the image brought to the size that ``sized`` says, in the image's own size. A border
+    mirrors the image with its edge and is cut off again."""
     if model is None:
         raise ModelMissing("this style needs a model")
     h, w = image.shape[:2]
     rgb = image[..., ::-1]
     if resolution:
-        s = resolution / min(h, w)
-        rgb = np.clip(np.rint(k.resize(rgb, max(1, round(h * s)), max(1, round(w * s)))), 0, 255).astype(np.uint8)
+        full_h, full_w, own_h, own_w = sized(h, w, resolution)
+        rgb = np.clip(np.rint(k.resize(rgb, own_h, own_w)), 0, 255).astype(np.uint8)
+        rgb = np.pad(rgb, ((0, full_h - own_h), (0, full_w - own_w), (0, 0)), mode="symmetric")
     out = np.asarray(model(np.ascontiguousarray(rgb)))
+    if resolution and out.shape[:2] == (full_h, full_w):
+        out = out[:own_h, :own_w]
     if out.ndim == 3:
         out = k.to_gray(out[..., ::-1])
     return np.clip(np.rint(k.resize(out.astype(float), h, w)), 0, 255).astype(np.uint8)
@@ -261,9 +282,9 @@ def gradient_edges(gray: np.ndarray, percentile: float = 90) -> np.ndarray:
     return k.canny(gray, *_thresholds(gray, percentile))
 
 
-def soft_lines(image: np.ndarray, model: Callable | None = None, resolution: int | None = None, exponent: float = 1.0, edges: str = "hysteresis") -> Drawing:
+def soft_lines(image: np.ndarray, model: Callable | None = None, resolution: int | None = None, exponent: float = 1.0, edges: str = "hysteresis", sized: Callable = by_short_side) -> Drawing:
     """Centre lines of a network's sketch, darker with an exponent under 1."""
-    soft = k.normalize(_response(image, model, resolution))
+    soft = k.normalize(_response(image, model, resolution, sized))
     if exponent != 1:
         soft = (255 * (soft / 255.0) ** exponent).astype(np.uint8)
     mask = centerline(soft) if edges == "hysteresis" else gradient_edges(soft)
@@ -271,7 +292,7 @@ def soft_lines(image: np.ndarray, model: Callable | None = None, resolution: int
 
 
 def anime2sketch(image: np.ndarray, model: Callable | None = None) -> Drawing:
-    return soft_lines(image, model, 512, 1 / 1.6)
+    return soft_lines(image, model, 512, 1 / 1.6, sized=by_long_side)
 
 
 def informative_drawings(image: np.ndarray, model: Callable | None = None) -> Drawing:

@@ -22,14 +22,14 @@ def in_order():
 
 
 def path_length(points: DataFrame) -> DataFrame:
-    """length of each path, its closing segment included if it is closed, with n_points, closed and kind. Segments are
-    summed in an array by place, so the result does not depend on the order of rows."""
-    rows = points.groupBy(*PATH).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"), F.first("closed").alias("closed"), F.first("kind").alias("kind"))
-    step = lambda a, b: F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2)
-    n = F.size("p")
-    open_length = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, k: s + step(F.get("p", k), F.get("p", k - 1)))
-    ends = F.when(F.col("closed"), step(F.get("p", F.lit(0)), F.get("p", n - 1))).otherwise(0.0)
-    return rows.select(*PATH, "closed", "kind", n.alias("n_points"), (F.when(n > 1, open_length).otherwise(0.0) + ends).alias("length"))
+    """length of each path, its closing segment included if it is closed, with n_points, closed and kind. The steps between
+    points are summed as they come from the sort, so no path is gathered into an array."""
+    step = lambda x, y: F.sqrt((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2)
+    rows = points.withColumn("_step", step(F.lag("x").over(in_order()), F.lag("y").over(in_order())))
+    end = lambda f: f(F.struct("x", "y"), F.col("i"))
+    sums = rows.groupBy(*PATH).agg(F.first("closed").alias("closed"), F.first("kind").alias("kind"), F.count("*").cast("int").alias("n_points"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("_open"), end(F.min_by).alias("_a"), end(F.max_by).alias("_b"))
+    back = F.sqrt((F.col("_a.x") - F.col("_b.x")) ** 2 + (F.col("_a.y") - F.col("_b.y")) ** 2)
+    return sums.select(*PATH, "closed", "kind", "n_points", (F.col("_open") + F.when(F.col("closed"), back).otherwise(0.0)).alias("length"))
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -115,10 +115,20 @@ def drawing_metrics(points: DataFrame) -> DataFrame:
     )
 
 
+def along(points: DataFrame, step: float) -> DataFrame:
+    """(image_id, path_id, x, y) of places along all segments, closing ones included, at most ``step`` apart, the points among them."""
+    first = F.first(F.struct("x", "y")).over(in_order())
+    after = F.coalesce(F.lead(F.struct("x", "y")).over(in_order()), F.when(F.col("closed"), first))
+    rows = points.withColumn("_to", after).withColumn("_to", F.coalesce("_to", F.struct("x", "y")))
+    parts = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("_to.x") - F.col("x")) ** 2 + (F.col("_to.y") - F.col("y")) ** 2) / F.lit(step)).cast("int"))
+    rows = rows.withColumn("_n", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n")))).withColumn("_t", F.col("_k") / F.col("_n"))
+    return rows.select(*PATH, *((F.col(c) + (F.col(f"_to.{c}") - F.col(c)) * F.col("_t")).alias(c) for c in ("x", "y")))
+
+
 def isolated_endpoints(points: DataFrame, cell: float) -> DataFrame:
-    """Ends of open paths in whose cell and the eight about it no other path has a point. A cell stands in for all of a
-    path's points in it, and no pair of points is ever made."""
-    cells = points.select(*PATH, F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).distinct()
+    """Ends of open paths in whose cell and the eight about it no other path passes. Segments count along their whole length, by
+    places half a cell apart at most. A cell stands in for all of a path's places in it, and no pair of points is ever made."""
+    cells = along(points, cell / 2).select(*PATH, F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).distinct()
     by_cell = cells.groupBy("image_id", "cx", "cy").agg(F.min("path_id").alias("lo"), F.max("path_id").alias("hi"))
     ends = points.where("not closed").withColumn("_last", F.max("i").over(whole())).where("i = 0 or i = _last").select(*PATH, "i", "x", "y")
     near = ends.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -101,7 +102,10 @@ def stages(images: DataFrame, profile: Profile, load: Callable[[], dict] | None
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                art, _, _ = convert_array(decode(r["data"], r["height"], r["width"], r["n_channels"]), profile, extras)
+                try:
+                    art, _, _ = convert_array(decode(r["data"], r["height"], r["width"], r["n_channels"]), profile, extras, r["image_id"] or "")
+                except Exception:  # its error is in the row that convert() makes
+                    continue
                 for seq, (name, a) in enumerate(art.stages):
                     a = np.where(a, 0, 255) if a.dtype == bool else a
                     gray = kernels.to_gray(a) if a.ndim == 3 else np.clip(a, 0, 255)
@@ -112,6 +116,23 @@ def stages(images: DataFrame, profile: Profile, load: Callable[[], dict] | None
     return images.where("error_class is null").select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, "image_id string, seq int, stage string, png binary")
 
 
+def save_stages(images: DataFrame, profile: Profile, load: Callable[[], dict] | None = None) -> int:
+    """Write the stages of each image as NN_stage.png into a folder of its own below profile.debug_dir, from the tasks that made them.
+    Returns how many."""
+    folder = profile.debug_dir
+
+    def run(batches):
+        for batch in batches:
+            for image_id, seq, name, png in zip(*(batch.column(c).to_pylist() for c in ("image_id", "seq", "stage", "png")), strict=True):
+                own = os.path.join(folder, os.path.splitext(os.path.basename(image_id))[0])
+                os.makedirs(own, exist_ok=True)
+                with open(os.path.join(own, f"{seq:02d}_{name}.png"), "wb") as f:
+                    f.write(png)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return stages(images, profile, load).mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def evaluate_segments(image: np.ndarray, masks: Callable, least: int, rounds: int = 20) -> dict:
     """Segments of a mask function, small ones merged into the nearest colour, their outlines and whether they would do."""
     h, w = image.shape[:2]
@@ -131,6 +152,8 @@ def evaluate_segments(image: np.ndarray, masks: Callable, least: int, rounds: in
                 to[x] = min(near[x], key=lambda y: (float(np.linalg.norm(mean[x] - mean[y])), y))
         if (to == np.arange(len(area))).all():
             break
+        mutual = to[to] == np.arange(len(area))
+        to = np.where(mutual, np.minimum(to, np.arange(len(area))), to)
         labels = to[labels]
     outline = styles.label_boundary(labels)
     counts = kernels.skeleton_counts(outline)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -22,6 +23,8 @@ from ..operators import gate, kernels, styles
 
 #: Mm thresholds of a detail level and the networks' resolution.
 DETAIL = {"toddler": (300.0, 6.0, 1.0, 512), "child": (120.0, 3.0, 0.6, 768), "adult": (25.0, 1.5, 0.3, 1280)}
+#: Where a caller's network may run; it is handed to the function that loads it.
+DEVICES = ("cpu", "cuda", "auto")
 
 
 @dataclass(frozen=True)
@@ -33,10 +36,14 @@ class Profile:
     working_dimension: int = 1400
     seed: int | None = 0
     strict: bool = False
+    device: str = "auto"
+    debug_dir: str | None = None
 
     def __post_init__(self):
         if self.detail not in DETAIL:
             raise ValueError(f"unknown detail {self.detail!r}; known: {', '.join(DETAIL)}")
+        if self.device not in DEVICES:
+            raise ValueError(f"unknown device {self.device!r}; known: {', '.join(DEVICES)}")
 
     def with_overrides(self, **changes) -> Profile:
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
@@ -78,7 +85,12 @@ def decode(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.ascontiguousarray(np.repeat(a, 3, 2) if channels == 1 else a[..., :3])
 
 
-def convert_array(image: np.ndarray, profile: Profile, extras: dict | None = None):
+def seed_of(seed: int, image_id: str) -> int:
+    """An image's own seed, which depends neither on its task nor on the images before it; without an id the seed itself."""
+    return zlib.crc32(image_id.encode(), seed) if image_id else seed
+
+
+def convert_array(image: np.ndarray, profile: Profile, extras: dict | None = None, image_id: str = ""):
     """(art, report, timings) of one BGR image."""
     timings, at = {}, time.perf_counter()
 
@@ -87,7 +99,7 @@ def convert_array(image: np.ndarray, profile: Profile, extras: dict | None = Non
         timings[stage], at = time.perf_counter() - at, time.perf_counter()
 
     if profile.seed is not None:
-        np.random.seed(profile.seed)
+        np.random.seed(seed_of(profile.seed, image_id))
     small = kernels.downscaled(image, profile.working_dimension)
     done("resize")
     art = styles.get(profile.style)(small, **(extras or {}))
@@ -102,12 +114,13 @@ def convert_array(image: np.ndarray, profile: Profile, extras: dict | None = Non
 
 def convert(images: DataFrame, profile: Profile | None = None, load: Callable[[], dict] | None = None) -> DataFrame:
     """A row of SCHEMA for each image. ``load`` makes what the style gets besides the image (model, masks); it runs once in
-    a task. Too large images never reach Python."""
+    a task. Too large images never reach Python; one without a size, channels or data is unsupported."""
     profile = profile or Profile()
     styles.get(profile.style)
-    fits = F.col("error_class").isNull() & (F.col("height").cast("long") * F.col("width") <= profile.max_pixels)
-    checked = images.withColumn("_fits", fits)
-    no = F.when(F.col("error_class").isNotNull(), F.col("error_class")).otherwise("image_too_large")
+    pixels = F.col("height").cast("long") * F.col("width")
+    whole = F.coalesce((pixels > 0) & F.col("data").isNotNull() & F.col("n_channels").isNotNull(), F.lit(False))
+    no = F.when(F.col("error_class").isNotNull(), F.col("error_class")).when(~whole, "unsupported_image").when(pixels > profile.max_pixels, "image_too_large")
+    checked = images.withColumn("_no", no)
 
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
@@ -118,15 +131,15 @@ def convert(images: DataFrame, profile: Profile | None = None, load: Callable[[]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    made = checked.where("_fits").select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, SCHEMA)
-    refused = checked.where("not _fits").select("image_id", F.lit(profile.style).alias("style"), no.alias("error_class"))
+    made = checked.where("_no is null").select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, SCHEMA)
+    refused = checked.where("_no is not null").select("image_id", F.lit(profile.style).alias("style"), F.col("_no").alias("error_class"))
     return made.unionByName(refused, allowMissingColumns=True)
 
 
 def _row(r: dict, profile: Profile, extras: dict | None) -> dict:
     out = {"image_id": r["image_id"], "style": profile.style}
     try:
-        art, report, timings = convert_array(decode(r["data"], r["height"], r["width"], r["n_channels"]), profile, extras)
+        art, report, timings = convert_array(decode(r["data"], r["height"], r["width"], r["n_channels"]), profile, extras, r["image_id"] or "")
     except Exception as e:  # one bad image must not end the batch
         return out | {"error_class": type(e).__name__, "error_msg": str(e)[:500]}
     out |= {"aspect_ratio": art.aspect, "timings": list(timings.items()), "passed": report.passed}
@@ -176,18 +189,22 @@ def rendered(converted: DataFrame, page: gate.Page, form: str) -> DataFrame:
 
 
 def save(files: DataFrame, folder: str, form: str) -> int:
-    """Write each row's content to a file of its own, row by row, into a folder that the driver reaches. Equal stems are told
-    apart by a number. Returns how many."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    used: dict[str, int] = {}
-    n = 0
-    for r in files.orderBy("image_id").toLocalIterator():
-        stem = os.path.splitext(os.path.basename(r.image_id))[0]
-        used[stem] = used.get(stem, 0) + 1
-        name = stem if used[stem] == 1 else f"{stem}-{used[stem]}"
-        with open(os.path.join(folder, f"{name}.{form}"), "wb") as f:
-            f.write(r.content)
-        n += 1
-    return n
+    """Write each row's content to a file of its own, from the tasks that hold the rows, into a folder that all of them reach. Equal
+    stems are told apart by a number, in the order of image_id. Returns how many."""
+    stem = F.regexp_replace(F.element_at(F.split("image_id", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    numbered = files.select(stem.alias("stem"), "image_id", "content").withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("image_id")))
+    named = numbered.select(F.concat("stem", F.when(F.col("k") > 1, F.concat(F.lit("-"), "k")).otherwise("")).alias("name"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                half = os.path.join(folder, f".{name}.{form}.{os.getpid()}")
+                with open(half, "wb") as f:
+                    f.write(content.as_buffer() or b"")
+                os.replace(half, os.path.join(folder, f"{name}.{form}"))  # a task that runs again leaves whole files
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return named.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

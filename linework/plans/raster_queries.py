@@ -213,11 +213,26 @@ def _merge_sql(source: str, out: str, least: int) -> str:
   {out}_q AS (SELECT image_id, label, o FROM {out}_p UNION SELECT image_id, o, label FROM {out}_p),
   {out}_t AS (SELECT q.image_id, q.label, q.o, row_number() OVER (PARTITION BY q.image_id, q.label ORDER BY abs(a.m - b.m), q.o) AS k FROM {out}_q q
     JOIN {out}_m a ON a.image_id = q.image_id AND a.label = q.label JOIN {out}_m b ON b.image_id = q.image_id AND b.label = q.o WHERE a.area < {least}),
-  {out} AS (SELECT s.image_id, s.y, s.x, s.v, coalesce(t.o, s.label) AS label FROM {source} s LEFT JOIN {out}_t t ON t.image_id = s.image_id AND t.label = s.label AND t.k = 1)"""
+  {out}_u AS (SELECT t.image_id, t.label, CASE WHEN u.o = t.label THEN least(t.label, t.o) ELSE t.o END AS o FROM {out}_t t LEFT JOIN {out}_t u ON u.image_id = t.image_id AND u.label = t.o AND u.k = 1 WHERE t.k = 1),
+  {out} AS (SELECT s.image_id, s.y, s.x, s.v, coalesce(t.o, s.label) AS label FROM {source} s LEFT JOIN {out}_u t ON t.image_id = s.image_id AND t.label = s.label)"""
 
 
-@query(f"WITH {RASTER_SQL}, fine AS (SELECT *, CAST(floor(v / 16) AS INTEGER) AS label FROM raster){_merge_sql('fine', 'one', 400)}{_merge_sql('one', 'two', 400)} SELECT image_id, label, count(*) AS area FROM two GROUP BY 1, 2")
+MERGE_SQL = "".join(_merge_sql(f"merged{k}" if k else "fine", f"merged{k + 1}", 400) for k in range(6))
+
+
+@query(f"WITH {RASTER_SQL}, fine AS (SELECT *, CAST(floor(v / 16) AS INTEGER) AS label FROM raster){MERGE_SQL} SELECT image_id, label, count(*) AS area FROM merged6 GROUP BY 1, 2")
 def merge_small_regions(spark, d):
-    """Two rounds; the SQL has them one after the other."""
+    """Until no region is small; the SQL has six rounds one after the other, more than are needed."""
     fine = raster(spark, d).withColumn("label", F.floor(F.col("v") / 16).cast("int"))
-    return op.merge_small_regions(fine, "v", 400, 2).groupBy("image_id", "label").agg(F.count("*").alias("area"))
+    return op.merge_small_regions(fine, "v", 400).groupBy("image_id", "label").agg(F.count("*").alias("area"))
+
+
+BRIGHT_SQL = "least(255, v + 20 + 4 * image_id)"
+
+
+@query(f"""WITH {RASTER_SQL} SELECT image_id, round(ink, 6) AS ink_coverage, round(aa, 6) AS antialiased_fraction, n AS n_pixels,
+  ink BETWEEN 0.03 AND 0.08 AND aa >= 0.05 AS passed FROM
+  (SELECT image_id, avg(({BRIGHT_SQL} < 128)::INT) AS ink, avg(({BRIGHT_SQL} > 5 AND {BRIGHT_SQL} < 250)::INT) AS aa, count(*) AS n FROM raster GROUP BY 1)""")
+def quality_gate_bright(spark, d):
+    """The gate of rasters made brighter, the more the higher their number, so that some pass."""
+    return tidy(op.quality_report(raster(spark, d).withColumn("v", F.expr(BRIGHT_SQL))), "ink_coverage", "antialiased_fraction")

@@ -46,13 +46,13 @@ def batch_status(spark, d):
     return op.batch_summary(status)
 
 
-@query(f"""WITH {LENGTH_SQL}, m AS (SELECT image_id, count(*) AS regions, sum(CASE WHEN closed THEN 0 ELSE 2 END) AS dangling, avg(y) AS ink FROM lengths JOIN (SELECT path_id, avg(y) AS y FROM points GROUP BY 1) USING (path_id) GROUP BY 1)
-  SELECT image_id, ink BETWEEN 0.03 AND 0.08 AND dangling = 0 AND regions BETWEEN 40 AND 400 AS ok, regions >= 8 AS many FROM m""")
+@query(f"""WITH {POINTS_SQL}, m AS (SELECT image_id, path_id, count(*) AS regions, any_value(CASE WHEN path_id % 5 = 0 THEN 2 ELSE 0 END) AS dangling, avg((y < 0.08::DOUBLE)::INT) AS ink FROM points GROUP BY 1, 2)
+  SELECT image_id, path_id, ink BETWEEN 0.03 AND 0.08 AND dangling = 0 AND regions BETWEEN 40 AND 400 AS ok, regions FROM m""")
 def decide_pass_fail(spark, d):
-    p = points(spark, d)
-    m = vop.path_length(p).join(p.groupBy("image_id", "path_id").agg(F.avg("y").alias("ink")), ["image_id", "path_id"])
-    m = m.groupBy("image_id").agg(F.count("*").alias("regions"), F.sum(F.when(F.col("closed"), 0).otherwise(2)).alias("dangling"), F.avg("ink").alias("ink"))
-    return m.select("image_id", op.decision(F.col("ink"), F.col("dangling"), F.col("regions")).alias("ok"), (F.col("regions") >= 8).alias("many"))
+    """Each path as a drawing: its points are the regions, low ones the ink, and every fifth has loose ends."""
+    m = points(spark, d).groupBy("image_id", "path_id").agg(F.count("*").alias("regions"), F.avg((F.col("y") < 0.08).cast("int")).alias("ink"))
+    dangling = F.when(F.col("path_id") % 5 == 0, 2).otherwise(0)
+    return m.select("image_id", "path_id", op.decision(F.col("ink"), dangling, F.col("regions")).alias("ok"), "regions")
 
 
 @query("""WITH t AS (SELECT user_id, event_type, round(sum(value), 6) AS s FROM events GROUP BY 1, 2) SELECT user_id, round(sum(s), 4) AS total_s, count(*) AS n_stages FROM t GROUP BY 1""")
@@ -73,12 +73,13 @@ def profile_json(spark, d):
     return p.groupBy("style", "detail", F.col("page.size").alias("size"), F.col("page.dpi").alias("dpi")).agg(F.count("*").alias("n"), F.sum("max_pixels").alias("pixels"), F.count("seed").alias("seeded"))
 
 
-@query(f"""WITH {LENGTH_SQL}, s AS (SELECT image_id, 0 AS seq, 'traced' AS stage, path_id FROM lengths UNION ALL SELECT image_id, 1, 'long', path_id FROM lengths WHERE length >= 20 UNION ALL SELECT image_id, 2, 'closed', path_id FROM lengths WHERE length >= 20 AND closed)
-  SELECT image_id, seq, stage, count(*) AS n FROM s GROUP BY 1, 2, 3""")
+@query(f"""WITH {LENGTH_SQL}, t AS (SELECT * FROM (VALUES (0, 'traced', 0.0, FALSE), (1, 'long', 7.0, FALSE), (2, 'closed', 7.0, TRUE), (3, 'longest', 10.0, TRUE)) t(seq, stage, least, only_closed))
+  SELECT image_id, seq, stage, count(*) FILTER (length >= least AND (closed OR NOT only_closed)) AS n FROM lengths, t GROUP BY 1, 2, 3""")
 def stage_funnel(spark, d):
+    """Some images have no path that survives all stages."""
     traced = vop.path_length(points(spark, d))
-    long = traced.where("length >= 20")
-    return op.stage_funnel([("traced", traced), ("long", long), ("closed", long.where("closed"))])
+    long = traced.where("length >= 7")
+    return op.stage_funnel([("traced", traced), ("long", long), ("closed", long.where("closed")), ("longest", long.where("closed and length >= 10"))])
 
 
 @query(f"""WITH {RASTER_SQL}, sizes AS (SELECT image_id, (max(x) + 1) / (max(y) + 1)::DOUBLE AS aspect FROM raster GROUP BY 1)

@@ -40,9 +40,9 @@ def path_bounds(spark, d):
     return tidy(op.bounds(points(spark, d)), "x0", "y0", "x1", "y1")
 
 
-@query(f"WITH {LENGTH_SQL} SELECT p.image_id, p.path_id, p.i, round(p.x, 6) AS x, round(p.y, 6) AS y FROM points p JOIN lengths l USING (image_id, path_id) WHERE l.length >= 20")
+@query(f"WITH {LENGTH_SQL} SELECT p.image_id, p.path_id, p.i, round(p.x, 6) AS x, round(p.y, 6) AS y FROM points p JOIN lengths l USING (image_id, path_id) WHERE l.length >= 7")
 def length_filter(spark, d):
-    return tidy(op.length_filter(points(spark, d), 20).select("image_id", "path_id", "i", "x", "y"), "x", "y")
+    return tidy(op.length_filter(points(spark, d), 7).select("image_id", "path_id", "i", "x", "y"), "x", "y")
 
 
 @query(f"""WITH {LENGTH_SQL}, paths AS (SELECT *, CASE WHEN closed THEN length / 400 END AS source_area FROM lengths),
@@ -96,7 +96,11 @@ def drawing_metrics(spark, d):
     return tidy(out, "closed_share", "points_per_path")
 
 
-@query(f"""WITH {POINTS_SQL}, cells AS (SELECT DISTINCT image_id, path_id, floor(x / 0.004::DOUBLE) AS cx, floor(y / 0.004::DOUBLE) AS cy FROM points),
+@query(f"""WITH {POINTS_SQL}, steps AS (SELECT *, coalesce(lead(x) OVER w, CASE WHEN closed THEN first_value(x) OVER w END, x) AS tx, coalesce(lead(y) OVER w, CASE WHEN closed THEN first_value(y) OVER w END, y) AS ty
+    FROM points WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+  parts AS (SELECT *, greatest(1, ceil(sqrt(pow(tx - x, 2) + pow(ty - y, 2)) / 0.002::DOUBLE)::INT) AS n FROM steps),
+  places AS (SELECT image_id, path_id, x + (tx - x) * (k / n::DOUBLE) AS x, y + (ty - y) * (k / n::DOUBLE) AS y FROM (SELECT *, unnest(range(n + 1)) AS k FROM parts)),
+  cells AS (SELECT DISTINCT image_id, path_id, floor(x / 0.004::DOUBLE) AS cx, floor(y / 0.004::DOUBLE) AS cy FROM places),
   ends AS (SELECT * FROM (SELECT *, max(i) OVER (PARTITION BY path_id) AS e FROM points WHERE NOT closed) WHERE i = 0 OR i = e)
   SELECT image_id, path_id, i FROM ends WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.image_id = ends.image_id AND c.path_id <> ends.path_id AND abs(c.cx - floor(ends.x / 0.004::DOUBLE)) <= 1 AND abs(c.cy - floor(ends.y / 0.004::DOUBLE)) <= 1)""")
 def isolated_endpoints(spark, d):
@@ -155,3 +159,20 @@ def size_functions(spark, d):
     s = F.col("dimension")
     out = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_size").alias("dimension")).agg(F.count("*").alias("n"))
     return out.select("dimension", page.kernel_size(s * 100, 0.005).alias("kernel"), page.line_thickness(s * 100).alias("thickness"), F.round(page.mm_to_px(s, F.lit(300)), 6).alias("px"), F.round(page.mm2_to_px2(s, F.lit(300.0)), 4).alias("px2"), "n")
+
+
+SCORES_SQL = dict((k, sql) for k, (_, sql) in QUERIES.items())["tolerance_match"]
+
+
+@query(f"SELECT image_id, round(CASE WHEN image_id % 4 = 3 THEN 0 ELSE greatest(0, least(1, (f1 - (image_id % 4) / 4.0::DOUBLE) / (1 - (image_id % 4) / 4.0::DOUBLE))) END, 4) AS f1_normalized FROM ({SCORES_SQL})")
+def f1_above_floor(spark, d):
+    """F1 of tolerance_match above floors of 0, a quarter, a half and 1."""
+    floor = F.when(F.col("image_id") % 4 == 3, 1.0).otherwise(F.col("image_id") % 4 / 4.0)
+    return tolerance_match(spark, d).select("image_id", F.round(op.normalized_f1(F.col("f1"), floor), 4).alias("f1_normalized"))
+
+
+@query(f"WITH {POINTS_SQL}, b AS (SELECT image_id, max(x) - min(x) AS w, max(y) - min(y) AS h FROM points GROUP BY 1) SELECT image_id, round(greatest(w, h) / least(w, h), 6) AS aspect_ratio FROM b ORDER BY image_id LIMIT 5")
+def first_aspect_ratios(spark, d):
+    """Longer by shorter side of the first five drawings in the order of their ids: a limit after a sort."""
+    b = op.bounds(points(spark, d)).orderBy("image_id").limit(5)
+    return b.select("image_id", F.round(page.aspect_ratio(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 6).alias("aspect_ratio"))

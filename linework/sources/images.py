@@ -32,13 +32,17 @@ def from_arrays(spark: SparkSession, arrays: dict) -> DataFrame:
 
 
 def from_pixels(pixels: DataFrame) -> DataFrame:
-    """Gray images of pixels (image_id, y, x, v) that fill their rectangle; an image becomes one row."""
-    packed = pixels.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"), F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("_p"))
-    data = F.unhex(F.array_join(F.transform("_p", lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""))
+    """Gray images of pixels (image_id, y, x, v) that fill their rectangle; an image becomes one row. Pixels are packed into
+    bytes by image row first, so no array holds a struct for each pixel of an image."""
+    bytes_of = lambda a: F.unhex(F.array_join(F.transform(a, lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""))
+    rows = pixels.groupBy("image_id", "y").agg(F.max("x").alias("_w"), bytes_of(F.array_sort(F.collect_list(F.struct("x", "v")))).alias("_row"))
+    packed = rows.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("_w").alias("_w"), F.array_sort(F.collect_list(F.struct("y", "_row"))).alias("_p"))
+    data = F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p["_row"])), ""))
     return packed.select(F.col("image_id").cast("string").alias("image_id"), (F.col("_h") + 1).cast("int").alias("height"), (F.col("_w") + 1).cast("int").alias("width"), F.lit(1).alias("n_channels"), data.alias("data"), F.lit(None).cast("string").alias("error_class"))
 
 
 def to_pixels(images: DataFrame) -> DataFrame:
-    """Pixels (image_id, y, x, v) of gray images; made of hex digits, so no Python runs."""
-    digits = images.where("n_channels = 1").select("image_id", "width", F.posexplode(F.split(F.hex("data"), "(?<=\\G..)")).alias("at", "h"))
-    return digits.where("h <> ''").select("image_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), F.conv("h", 16, 10).cast("int").alias("v"))
+    """Pixels (image_id, y, x, v) of gray images: rows are cut out of the bytes, then pixels out of rows, so no Python runs."""
+    rows = images.where("n_channels = 1 and height > 0 and width > 0").select("image_id", "width", "data", F.explode(F.expr("sequence(0, height - 1)")).alias("y"))
+    rows = rows.select("image_id", "y", F.hex(F.substring("data", F.col("y") * F.col("width") + 1, F.col("width"))).alias("h"), F.explode(F.expr("sequence(0, width - 1)")).alias("x"))
+    return rows.select("image_id", "y", "x", F.conv(F.substring("h", F.col("x") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("v"))

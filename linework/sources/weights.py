@@ -10,7 +10,7 @@ class WeightsMissing(FileNotFoundError):
     """No file of that network was found."""
 
 
-class WeightsWrong(ValueError):
+class ChecksumError(ValueError):
     """A file's digest is not the expected one."""
 
 
@@ -31,5 +31,5 @@ def verify(path: str, sha256: str) -> str:
         while piece := f.read(1 << 20):
             digest.update(piece)
     if digest.hexdigest() != sha256.lower():
-        raise WeightsWrong(f"{path} has another digest")
+        raise ChecksumError(f"{path} has another digest")
     return path

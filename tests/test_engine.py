@@ -231,5 +231,5 @@ def test_weights(tmp_path, monkeypatch):
     assert weights.verify(weights.resolve(None, "SOME_WEIGHTS"), hashlib.sha256(b"x").hexdigest()) == str(f)
     with pytest.raises(weights.WeightsMissing):
         weights.resolve(None, "NO_SUCH")
-    with pytest.raises(weights.WeightsWrong):
+    with pytest.raises(weights.ChecksumError):
         weights.verify(str(f), "0" * 64)
