@@ -2,22 +2,28 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither so frequent that
 they tell nothing nor so rare that a slip of the pen changes them. A document's distinct terms of
-the lexicon, sorted, are hashed once for each of several randomised subsets of the lexicon. The subsets
-keep from all down to one in thousands of the terms, so that some of them hold but one or two terms
-of a document and survive an edit, whether it is long or short.
+the lexicon are sorted and the list is hashed, once whole and once for each of 63 randomised subsets of
+the lexicon: two documents that differ only in terms which a subset lacks have equal hashes there. 15 subsets keep half to
+most of the lexicon, as the method is published, and tell slight edits; 48 keep from a sixteenth down, since after an edit of a
+third of a text every subset that keeps most has some changed term. A fingerprint is the number of chosen terms and
+the list of 64-bit hashes. A subset that keeps a share s has equal hashes with the probability (1 - s)^d after d changed
+terms, so the likeness of two fingerprints is the Jaccard similarity of their terms by the likeliest d.
 
 The lexicon is at most (mean distinct terms of a document) / e^-IDF_HIGH terms, at any number of documents,
-since each takes that share of the documents; so it may be broadcast.
+since each takes that share of the documents. It is broadcast as sorted 8-byte hashes if it has at most LEXICON_MOST; beyond
+that the band narrows from its rare end until it has, which is a rule on document frequencies alone, and is reported.
 
 Defined cases: a null or empty text has no terms and the fingerprint of the empty set; a text without terms of
-the lexicon is hashed by all its terms. Two fingerprints without any filled subset have likeness 1.
+the lexicon is hashed by all its terms. Two fingerprints of no terms have likeness 1, equal ones 1, and those that agree in no subset 0.
 Documents follow by falling doc_id (null last, equal ones in an order that depends on nothing but their texts); the next of the last is the first, of a single one
-itself. Repeated rows have results of their own; an empty table gives none; other columns are left alone.
+itself. Repeated rows have results of their own; an empty table gives none; other columns are left alone. A very long text is held
+whole by one task, with its neighbour's; equal doc_ids are neighbours and lie in one range, which is a stream.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, hash_words, mix64, table, text_bytes, words
 
+log = logging.getLogger(__name__)
+
 #: The band, in natural logarithms of documents over document frequency.
 IDF_LOW, IDF_HIGH = 1.6, 7.6
-#: Of the terms, subsets keep one in so many; so many subsets of each.
-KEEP = (64, 256, 1024, 4096)
-EACH = 16
-SUBSETS = [1, *(k for k in KEEP for _ in range(EACH))][:64]
+#: Terms of the lexicon at most: 64 MB as they are broadcast.
+LEXICON_MOST = 8_000_000
+#: Shares of the lexicon that subsets keep, and how many are drawn for each; the first subset is the whole.
+KEEP = ((0.9, 5), (0.7, 5), (0.5, 5), (1 / 16, 6), (1 / 64, 14), (1 / 256, 14), (1 / 1024, 14))
+SUBSETS = np.array([1.0, *(share for share, n in KEEP for _ in range(n))])
 SEEDS = mix64(np.arange(1, len(SUBSETS) + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-LIMITS = np.array([2**32 // k for k in SUBSETS], U)
+#: A term is in a subset if the upper half of its hash for the subset's seed is below this.
+LIMITS = np.rint(SUBSETS * 2**32).astype(U)
 
 
 def terms(raw: bytes) -> np.ndarray:
@@ -66,56 +76,93 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
 
 
-def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> np.ndarray:
+def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH, most: int = LEXICON_MOST) -> np.ndarray:
+    """Sorted hashes of the terms in the band. What the driver gets is bounded by ``most``: of more terms those of the least
+    frequencies go, whole frequencies at a time."""
     n = docs.select("doc_id").count()
-    found = document_frequencies(docs).where((F.col("df") > 1) & (F.col("df") >= n * float(np.exp(-idf_high))) & (F.col("df") <= n * float(np.exp(-idf_low))))
-    return np.sort(found.select("t").toPandas()["t"].to_numpy().astype(np.int64).view(U))
+    found = cut(document_frequencies(docs).where((F.col("df") > 1) & (F.col("df") >= n * float(np.exp(-idf_high))) & (F.col("df") <= n * float(np.exp(-idf_low)))), "lexicon")
+    least = 0
+    if found.count() > most:
+        # a row for each frequency in the band, in classes of a thousandth of their logarithm
+        classes = found.groupBy(F.floor(F.log("df") * 1000).alias("c")).agg(F.count("*").alias("n"), F.min("df").alias("df")).orderBy(F.desc("c")).collect()
+        total, least = 0, n + 1
+        for r in classes:
+            total += r.n
+            if total > most:
+                break
+            least = r.df
+        log.warning("the band ends at %d documents, as there are more than %d terms", least, most)
+    return np.sort(found.where(F.col("df") >= least).select("t").toPandas()["t"].to_numpy().astype(np.int64).view(U))
+
+
+def list_hash(t: np.ndarray) -> int:
+    """Of a sorted list of term hashes 64 bits, never 0; 0 of the empty one."""
+    return int.from_bytes(hashlib.blake2b(t.tobytes(), digest_size=8).digest(), "little") or 1 if len(t) else 0
+
+
+def membership(t: np.ndarray) -> np.ndarray:
+    """For each term a word whose k-th bit says whether it is in the k-th subset."""
+    out = np.zeros(len(t), U)
+    for k, (seed, limit) in enumerate(zip(SEEDS, LIMITS, strict=True)):
+        out |= ((mix64(t ^ seed) >> U(32)) < limit).astype(U) << U(k)
+    return out
 
 
 class Fingerprints:
-    """Fingerprints by a lexicon; what depends on a term alone is worked out once."""
+    """Fingerprints by a lexicon; which subsets a term is in is worked out once."""
 
     def __init__(self, lex: np.ndarray):
         self.lex = lex
-        self.values = self._values(lex)
-
-    @staticmethod
-    def _values(t: np.ndarray) -> np.ndarray:
-        """For each term and subset a hash of the term, 0 if the subset lacks it."""
-        out = np.empty((len(t), len(SUBSETS)), np.uint32)
-        for k, seed in enumerate(SEEDS):
-            drawn = mix64(t ^ seed)
-            out[:, k] = np.where((drawn & U(2**32 - 1)) < LIMITS[k], (drawn >> U(32)).astype(np.uint32) | np.uint32(1), 0)
-        return out
+        self.member = membership(lex)
 
-    def of(self, raw: bytes) -> np.ndarray:
-        """One 16-bit hash for each subset, 0 for an empty selection. Terms are sorted and distinct, so
-        their sum stands for the list."""
+    def selected(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct terms that are in the lexicon, without any all, and their membership()."""
         t = terms(raw)
         if len(t) and len(self.lex):
             at = np.minimum(np.searchsorted(self.lex, t), len(self.lex) - 1)
             at = at[self.lex[at] == t]
             if len(at):
-                return self._folded(self.values[at])
-        return self._folded(self._values(t))
+                return self.lex[at], self.member[at]
+        return t, membership(t)
 
-    @staticmethod
-    def _folded(values: np.ndarray) -> np.ndarray:
-        if not len(values):
-            return np.zeros(len(SUBSETS), np.uint16)
-        total = values.sum(0, dtype=U)
-        return np.where(total > 0, np.maximum(mix64(total) >> U(48), U(1)), U(0)).astype(np.uint16)
+    def of(self, raw: bytes) -> np.ndarray:
+        """The number of chosen terms, then one 64-bit hash for each subset, 0 for an empty selection."""
+        t, member = self.selected(raw)
+        out = np.zeros(1 + len(SUBSETS), U)
+        out[0] = len(t)
+        if len(t):
+            kept = np.unpackbits(member.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(bool)
+            for k in np.flatnonzero(kept.any(1)):
+                out[1 + k] = list_hash(t[kept[k]])
+        return out
 
 
 def written(f: np.ndarray) -> bytes:
-    return f.astype(">u2").tobytes()
+    return f.astype(">u8").tobytes()
+
+
+#: Shares that subsets lack, and their logarithms; the whole lexicon (share 0) says only whether all is equal.
+_SHARES = np.log1p(-SUBSETS[1:])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Of the subsets filled in either, the share that agrees."""
-    filled = (a != 0) | (b != 0)
-    n = int(filled.sum())
-    return float((filled & (a == b)).sum() / n) if n else 1.0
+    """The Jaccard similarity of the terms by the likeliest number of changed ones, at which the score function, which falls, is 0."""
+    if (a == b).all():
+        return 1.0
+    alike = a[2:] == b[2:]
+    total = float(a[0] + b[0])
+    if not alike.any():
+        return 0.0
+    slope = -_SHARES
+    low, high = 0.0, total
+    for _ in range(40):
+        d = (low + high) / 2
+        p = np.exp(-slope * d)
+        if (slope * np.where(alike, -1.0, p / np.maximum(1 - p, 1e-300))).sum() > 0:
+            low = d
+        else:
+            high = d
+    return max(0.0, (total - low) / (total + low))
 
 
 def edited(text: str, following: str) -> str:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -348,6 +349,66 @@ def test_likeness_falls_with_edits(docs_of):
     assert (got.near_edited > got.near_next).mean() > 0.98
 
 
+def plain_fingerprint(text, lexicon):
+    """By the definition, a term and a subset at a time: the sorted hashes of the chosen terms, hashed."""
+    from pandas.util import hash_array
+
+    every = sorted({int(hash_array(np.array([w], object))[0]) for w in (text or "").encode().translate(imatch_lower).split()})
+    chosen = [t for t in every if t in lexicon] or every
+    out = [len(chosen)]
+    for seed, limit in zip(imatch.SEEDS, imatch.LIMITS, strict=True):
+        kept = [t for t in chosen if int(imatch.mix64(np.array([t], np.uint64) ^ seed)[0]) >> 32 < int(limit)]
+        digest = hashlib.blake2b(b"".join(t.to_bytes(8, "little") for t in kept), digest_size=8).digest()
+        out.append((int.from_bytes(digest, "little") or 1) if kept else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    """The Jaccard similarity at the number of changed terms, of all halves, that makes what agrees likeliest."""
+    if a == b:
+        return 1.0
+    equal = [x == y for x, y in zip(a[2:], b[2:], strict=True)]
+    if not any(equal):
+        return 0.0
+    shares = [s for s, n in imatch.KEEP for _ in range(n)]
+    total = a[0] + b[0]
+    logs = lambda d: sum(d * math.log(1 - s) if e else math.log(max(1e-300, 1 - (1 - s) ** d)) for s, e in zip(shares, equal, strict=True))
+    best = max((k / 100 for k in range(1, 100 * total + 1)), key=logs)
+    return max(0.0, (total - best) / (total + best))
+
+
+imatch_lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def test_fingerprints_and_likeness_against_the_definition(docs_of):
+    """The lexicon by document frequencies counted one by one; fingerprints, edited ones and both likenesses made anew."""
+    from pandas.util import hash_array
+
+    vocabulary = [f"T{i}" for i in range(60)]
+    pairs = [(i, " ".join(RNG.choice(vocabulary) for _ in range(RNG.randint(0, 25)))) for i in range(40)] + [(100, None), (101, "only here"), (102, "Only HERE")]
+    df = collections.Counter(w for _, t in pairs for w in {*(t or "").lower().split()})
+    low, high = len(pairs) * np.exp(-imatch.IDF_HIGH), len(pairs) * np.exp(-imatch.IDF_LOW)
+    lexicon = {int(hash_array(np.array([w.encode()], object))[0]) for w, n in df.items() if n > 1 and low <= n <= high}
+    assert sorted(map(int, imatch.lexicon(docs_of(pairs)))) == sorted(lexicon) and 10 < len(lexicon) < len(df)
+    got = {r.doc_id: r for r in imatch.fingerprint(docs_of(pairs)).collect()}
+    order = sorted(pairs, reverse=True)
+    shown = lambda f: "".join(f"{x:016x}" for x in f)
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        own, other, its = (plain_fingerprint(x, lexicon) for x in (t, t[: len(t) - third] + following[:third], following))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(other))
+        assert abs(r.near_edited - plain_likeness(own, other)) < 0.01 and abs(r.near_next - plain_likeness(own, its)) < 0.01
+
+
+def test_a_lexicon_that_is_too_large_narrows_from_its_rare_end(docs_of):
+    pairs = [(i, " ".join(f"w{k}" for k in range(30) if i % (k + 2) == 0)) for i in range(120)]
+    whole = imatch.lexicon(docs_of(pairs), 0.0, 9.0)
+    few = imatch.lexicon(docs_of(pairs), 0.0, 9.0, most=10)
+    assert 5 <= len(few) <= 10 < len(whole) and set(few.tolist()) <= set(whole.tolist())
+
+
 # --- classifiers
 
 
