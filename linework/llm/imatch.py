@@ -141,28 +141,30 @@ def written(f: np.ndarray) -> bytes:
     return f.astype(">u8").tobytes()
 
 
-#: Shares that subsets lack, and their logarithms; the whole lexicon (share 0) says only whether all is equal.
-_SHARES = np.log1p(-SUBSETS[1:])
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of the terms by the likeliest number of changed ones, at which the score function, which falls, is 0."""
-    if (a == b).all():
-        return 1.0
-    alike = a[2:] == b[2:]
-    total = float(a[0] + b[0])
-    if not alike.any():
-        return 0.0
-    slope = -_SHARES
-    low, high = 0.0, total
-    for _ in range(40):
-        d = (low + high) / 2
-        p = np.exp(-slope * d)
-        if (slope * np.where(alike, -1.0, p / np.maximum(1 - p, 1e-300))).sum() > 0:
-            low = d
-        else:
-            high = d
-    return max(0.0, (total - low) / (total + low))
+#: For each share that subsets keep: where they begin among them, how many, and -log of the share they lack.
+_DRAWN = np.array([n for _, n in KEEP])
+_FIRST = np.cumsum(_DRAWN) - _DRAWN
+_SLOPES = -np.log1p(-np.array([share for share, _ in KEEP]))
+
+
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of two arrays of fingerprints the Jaccard similarity of their terms by the likeliest number of changed ones, at
+    which the score function, which falls, is 0."""
+    alike = a[:, 2:] == b[:, 2:]
+    total = a[:, 0].astype(float) + b[:, 0].astype(float)
+    out = np.where((a == b).all(1), 1.0, 0.0)
+    rows = np.flatnonzero((out == 0) & alike.any(1))
+    if len(rows):
+        # subsets of one share are drawn alike, so their number that agrees is all that matters
+        agreeing = np.stack([alike[rows][:, at : at + n].sum(1) for at, n in zip(_FIRST, _DRAWN, strict=True)], 1)
+        low, high = np.zeros(len(rows)), total[rows]
+        for _ in range(40):
+            d = (low + high) / 2
+            p = np.exp(-_SLOPES * d[:, None])
+            more = (_SLOPES * ((_DRAWN - agreeing) * p / np.maximum(1 - p, 1e-300) - agreeing)).sum(1) > 0
+            low, high = np.where(more, d, low), np.where(more, high, d)
+        out[rows] = np.maximum(0.0, (total[rows] - low) / (total[rows] + low))
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -176,10 +178,12 @@ COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary,
 OPEN = COLUMNS + ", part int, place string, text binary"
 
 
-def _row(made: Fingerprints, doc_id, text: str, own: np.ndarray, following: str, its: np.ndarray) -> tuple:
-    e = edited(text, following).encode()
-    other = made.of(e)
-    return doc_id, len(text), hashlib.sha256(e).digest(), written(own), written(other), likeness(own, other), likeness(own, its)
+def _rows(made: Fingerprints, rows: list[tuple]) -> list[tuple]:
+    """Result rows of (doc_id, text, its fingerprint, the following text, its fingerprint)."""
+    texts = [edited(text, following).encode() for _, text, _, following, _ in rows]
+    own, other, its = (np.array(x, U).reshape(-1, 1 + len(SUBSETS)) for x in ([r[2] for r in rows], [made.of(e) for e in texts], [r[4] for r in rows]))
+    near = likenesses(own, other).tolist(), likenesses(own, its).tolist()
+    return [(r[0], len(r[1]), hashlib.sha256(e).digest(), written(a), written(b), x, y) for r, e, a, b, x, y in zip(rows, texts, own, other, *near, strict=True)]
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -207,16 +211,16 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         made, part, opener = Fingerprints(shared.value), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         before = None
         for batch in batches:
-            out = []
+            out, pairs = [], []
             for doc_id, shut_text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = opener.decompress(shut_text)
                 own, text = made.of(raw), raw.decode()
                 if before is None:
                     out.append((doc_id, *[None] * 6, part, "first", shut_text))
                 else:
-                    out.append((*_row(made, *before[:3], text, own), part, None, None))
+                    pairs.append((*before[:3], text, own))
                 before = (doc_id, text, own, shut_text)
-            yield _batch(out, OPEN)
+            yield _batch(out + [(*r, part, None, None) for r in _rows(made, pairs)], OPEN)
         if before is not None:
             yield _batch([(before[0], *[None] * 6, part, "last", before[3])], OPEN)
 
@@ -231,12 +235,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     def close(batches):
         made, opener = Fingerprints(shared.value), zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
+            pairs = []
             for i, *both in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "following")), strict=True):
                 t, f = map(opener.decompress, both)
-                out.append(_row(made, i, t.decode(), made.of(t), f.decode(), made.of(f)))
-            if out:
-                yield _batch(out, COLUMNS)
+                pairs.append((i, t.decode(), made.of(t), f.decode(), made.of(f)))
+            if pairs:
+                yield _batch(_rows(made, pairs), COLUMNS)
 
     closed = pairs.select("doc_id", "text", "following").mapInArrow(close, COLUMNS)
     whole = rows.where("place is null").select([x.split()[0] for x in COLUMNS.split(", ")]).unionByName(closed)
