@@ -5,18 +5,23 @@ archive, one after the other, are a .warc.gz file. A task writes one archive, an
 captures sorted by URL key and timestamp. Archives lie as rows of a table in the shared folder, so writing and
 reading need nothing but Spark's own file access.
 
-Reading parses the records of each block in the order of its run. Runs are dealt by ranges of (URL key,
-timestamp, page), and in each range a loser tree merges its slices of all runs, so that the ranges one after
-the other are the capture history of the whole.
+Reading parses the records of each block in the order of its run and writes the runs, in pieces of PIECE captures, as a
+table. Ranges of (URL key, timestamp, page) are cut at places drawn from the pieces' first captures, and pieces that lie across a
+cut are split there. In each range Spark sorts the pieces, by which it can spill, by their first captures; this is the
+order in which a merge needs them (forecasting: Knuth, The Art of Computer Programming 3, 5.4.9). So the merge reads a stream:
+a loser tree holds the heads of the runs whose pieces have begun, at most one piece for each run, and when its least capture
+is not before the next piece's first, that piece joins. The ranges one after the other are the capture history of the whole.
 
 Of records with equal payloads of at least LEAST bytes the one of the smallest page_id is the response and the others
-refer to it. Defined cases: a null html is empty, a null url an empty one; rows that repeat the page_id of
+refer to it; what is said of a revisit is what was read of the record that it refers to, which must be there. Defined cases: a
+null html is empty, a null url an empty one; rows that repeat the page_id of
 the response with the same payload are responses too; a null page_id is never referred to unless it
-stands alone; an empty table writes nothing. Other columns are left alone.
+stands alone; an empty table writes nothing. A very long html is one record, held whole by one task. Other columns are left alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 LEAST = 100
+#: Captures in a piece of a run.
+PIECE = 256
 BLOCK_BYTES = 1_000_000
 EPOCH = datetime.datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,15 +106,27 @@ def read_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 class LoserTree:
-    """Merges k sorted sequences: inner places of a tree hold the losers of the matches played there, so each
-    next item costs one match on each level of its leaf's path."""
-
-    def __init__(self, runs: list[Iterator]):
-        self.runs = [iter(r) for r in runs]
-        self.k = max(1, len(self.runs))
-        self.heads = [next(r, None) for r in self.runs] or [None]
-        self.losers = [-1] * self.k
-        for leaf in range(self.k - 1, -1, -1):
+    """Merges sorted sequences: inner places of a tree hold the losers of the matches played there, so each next item costs one
+    match on each level of its leaf's path. Sequences may join while it runs; the tree is played anew then, and the leaves
+    of those that have ended are used again."""
+
+    def __init__(self, runs=()):
+        self.runs: list[Iterator] = []
+        self.heads: list = []
+        self.losers: list[int] = [-1]
+        self.most = 0  # sequences held at once
+        self.join(*runs)
+
+    def join(self, *runs) -> None:
+        live = [k for k, h in enumerate(self.heads) if h is not None]
+        self.runs, self.heads = [self.runs[k] for k in live], [self.heads[k] for k in live]
+        for run in map(iter, runs):
+            if (head := next(run, None)) is not None:
+                self.runs.append(run)
+                self.heads.append(head)
+        self.most = max(self.most, len(self.runs))
+        self.losers = [-1] * max(1, len(self.runs))
+        for leaf in range(len(self.runs) - 1, -1, -1):
             self._seat(leaf)
 
     def _less(self, a: int, b: int) -> bool:
@@ -120,19 +139,38 @@ class LoserTree:
         return (x, a) < (y, b)
 
     def _seat(self, winner: int) -> None:
-        at = (winner + self.k) // 2
+        at = (winner + len(self.losers)) // 2
         while at > 0:
             if self._less(self.losers[at], winner):
                 self.losers[at], winner = winner, self.losers[at]
             at //= 2
         self.losers[0] = winner
 
+    def peek(self):
+        """The least head, None if all sequences have ended."""
+        return self.heads[self.losers[0]] if self.heads else None
+
+    def pop(self):
+        run = self.losers[0]
+        item = self.heads[run]
+        self.heads[run] = next(self.runs[run], None)
+        self._seat(run)
+        return item
+
     def __iter__(self) -> Iterator:
-        while (item := self.heads[self.losers[0]]) is not None:
-            run = self.losers[0]
-            yield item
-            self.heads[run] = next(self.runs[run], None)
-            self._seat(run)
+        while self.peek() is not None:
+            yield self.pop()
+
+
+def merged(pieces: Iterator[tuple[tuple, list[tuple]]], tree: LoserTree | None = None) -> Iterator[tuple]:
+    """The items of pieces (first item's key, items (key, ...)) in order of their keys; the pieces come sorted by first key, items within
+    a piece are sorted. Only pieces that have begun and not ended are held."""
+    tree = LoserTree() if tree is None else tree
+    for first, items in pieces:
+        while (head := tree.peek()) is not None and head[0] <= first:
+            yield tree.pop()
+        tree.join(items)
+    yield from tree
 
 
 ARCHIVE = "archive long, block int, data binary, run array<struct<url_key:string,ts:string,page_id:long,start:long,length:long>>"
@@ -176,7 +214,8 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 RUN = pa.list_(pa.struct([("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
-READ = "url_key string, ts string, page_id long, run long, place int, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURE = "struct<url_key:string,ts:string,page_id:long,payload_bytes:long,payload_digest:string,record_type:string,refers_to:long>"
+PIECES = f"url_key string, ts string, page_id long, run long, place int, captures array<{CAPTURE}>"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, ts string"
 
 
@@ -185,63 +224,111 @@ def _number(record: str):
     return None if found == "None" else int(found)
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of each block in the order of its run; digests and lengths of responses are of the payloads read."""
+def read_archives(archives: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The runs in pieces: the captures of each block in the order of its run; digests and lengths of responses are of the payloads
+    read, a revisit has no length until it is resolved()."""
+    shape = _arrow(PIECES)
 
     def run(batches):
         for batch in batches:
             for archive, block, data, captures in zip(*(batch.column(k) for k in ("archive", "block", "data", "run")), strict=True):
                 whole = memoryview(data.as_buffer())
-                rows = []
-                for place, c in enumerate(captures.as_py()):
-                    fields, http, payload = read_record(whole[c["start"] : c["start"] + c["length"]])
-                    kind = fields["warc-type"]
-                    found = (len(payload), hashlib.sha256(payload).hexdigest()) if kind == "response" else (int(http["content-length"]), fields["warc-payload-digest"].removeprefix("sha256:"))
-                    if f"sha256:{found[1]}" != fields["warc-payload-digest"] or _number(fields["warc-record-id"]) != c["page_id"]:
+                found = []
+                for c in captures.as_py():
+                    fields, _, payload = read_record(whole[c["start"] : c["start"] + c["length"]])
+                    kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
+                    digest = hashlib.sha256(payload).hexdigest() if kind == "response" else said
+                    if digest != said or _number(fields["warc-record-id"]) != c["page_id"]:
                         raise BadRecord(f"{fields['warc-record-id']} is not what the index says")
                     refers_to = _number(fields["warc-refers-to"]) if kind == "revisit" else None
-                    rows.append((c["url_key"], c["ts"], c["page_id"], archive.as_py() << 24 | block.as_py(), place, *found, kind, refers_to))
-                yield _batch(rows, READ)
+                    found.append({"url_key": c["url_key"], "ts": c["ts"], "page_id": c["page_id"], "payload_bytes": len(payload) if kind == "response" else None, "payload_digest": digest, "record_type": kind, "refers_to": refers_to})
+                own = archive.as_py() << 24 | block.as_py()
+                rows = [(*(found[at][k] for k in ("url_key", "ts", "page_id")), own, at, found[at : at + piece]) for at in range(0, len(found), piece)]
+                yield _batch(rows, shape)
+
+    return archives.mapInArrow(run, PIECES)
 
-    return archives.mapInArrow(run, READ)
 
+def _arrow(schema: str) -> pa.Schema:
+    """Made on the driver, as workers have no session."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
-    fields = [x.split() for x in schema.split(", ")]
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], names=fields.names)
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
-    """READ rows in global order of URL key, timestamp and page: ranges are dealt by Spark, and within each the slices of
-    the runs, which are sorted, are merged by a loser tree."""
-    order = ["url_key", "ts", "page_id"]
+def _key(c: dict) -> tuple:
+    return c["url_key"], c["ts"], c["page_id"] is not None, c["page_id"] or 0
 
-    def run(batches):
-        slices: dict[int, list[tuple]] = {}
+
+def _cuts(pieces: DataFrame, ranges: int) -> list[tuple]:
+    """At most ranges - 1 keys that cut the pieces into about equal parts, from a sample of their first captures that is bounded by the
+    number of ranges."""
+    n = pieces.count()
+    some = pieces.where(F.pmod(F.xxhash64("run", "place"), F.lit(max(1, n))) < 40 * ranges).select("url_key", "ts", "page_id").limit(80 * ranges).collect()
+    keys = sorted({_key(r.asDict()) for r in some})
+    return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if len(keys) > ranges else keys[1:]
+
+
+def merge_runs(pieces: DataFrame, ranges: int | None = None) -> DataFrame:
+    """RESULT rows, and the range they lie in, in global order of URL key, timestamp and page, of runs in pieces, which are read
+    more than once: pass a table. Each range is a partition and a stream; a task holds one piece of each run at most."""
+    spark = pieces.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = spark.sparkContext.broadcast(_cuts(pieces, ranges))
+    dealt, result = PIECES + ", range int", RESULT + ", range int"
+    dealt_fields, result_fields = _arrow(dealt), _arrow(result)
+    names = [x.split()[0] for x in RESULT.split(", ")]
+
+    def split(batches):
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("run", "place", "url_key", "ts", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")), strict=True):
-                slices.setdefault(row[0], []).append(row[1:])
-        runs = []
-        for r in sorted(slices):
-            slices[r].sort(key=lambda x: x[0])  # its place in the run: fetched blocks may come in any order
-            runs.append([((k, ts, p is not None, p or 0), (p, n, d, kind, ref, k, ts)) for _, k, ts, p, n, d, kind, ref in slices[r]])
-        keyed = [[(key, r, place) for place, (key, _) in enumerate(x)] for r, x in enumerate(runs)]
+            rows = []
+            for run, place, captures in zip(*(batch.column(k).to_pylist() for k in ("run", "place", "captures")), strict=True):
+                keys = [_key(c) for c in captures]
+                at = 0
+                while at < len(keys):
+                    r = bisect.bisect_right(cuts.value, keys[at])
+                    end = bisect.bisect_left(keys, cuts.value[r], at) if r < len(cuts.value) else len(keys)
+                    rows.append((*(captures[at][k] for k in ("url_key", "ts", "page_id")), run, place + at, captures[at:end], r))
+                    at = end
+            yield _batch(rows, dealt_fields)
+
+    def run(batches):
+        def arriving():
+            for batch in batches:
+                for r, captures in zip(batch.column("range").to_pylist(), batch.column("captures"), strict=True):
+                    items = [((r, *_key(c)), r, c) for c in captures.as_py()]
+                    yield items[0][0], items
+
         out = []
-        for _, r, place in LoserTree(keyed):
-            out.append(runs[r][place][1])
+        for _, r, c in merged(arriving()):
+            out.append((*(c[k] for k in names), r))
             if len(out) == 5000:
-                yield _batch(out, RESULT)
+                yield _batch(out, result_fields)
                 out = []
-        yield _batch(out, RESULT)
+        yield _batch(out, result_fields)
+
+    order = ["range", "url_key", "ts", F.col("page_id").asc_nulls_first(), "run", "place"]
+    streams = pieces.select("run", "place", "captures").mapInArrow(split, dealt).repartitionByRange(ranges, "range").sortWithinPartitions(*order)
+    return streams.mapInArrow(run, result)
+
 
-    return captures.repartitionByRange(*order).mapInArrow(run, RESULT)
+def resolved(captures: DataFrame) -> DataFrame:
+    """The captures with each revisit's length from the response that it refers to; a revisit without such a record is an error."""
+    whole = cut(captures.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("its_bytes")), "responses")
+    met = captures.where("record_type = 'revisit'").join(whole, ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("a revisit refers to a record that is not there: "), F.col("refers_to").cast("string"))).cast("long")
+    return captures.where("record_type = 'response'").unionByName(met.withColumn("payload_bytes", F.coalesce("its_bytes", lost)).drop("its_bytes").select(captures.columns))
 
 
 def capture_histories(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write (page_id, url, html) to archives, read them back, and give their captures in global order."""
-    return merge_runs(read_archives(cut(write_archives(pages, least), "archives")))
+    return merge_runs(cut(read_archives(cut(write_archives(pages, least), "archives")), "runs"))
 
 
 def export(archives: DataFrame, folder: str) -> None:
@@ -256,4 +343,5 @@ def export(archives: DataFrame, folder: str) -> None:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the histories of all pages say of each."""
-    return capture_histories(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    histories = cut(capture_histories(table(spark, sf_dir, "pages", "page_id", "url", "html")), "histories")
+    return resolved(histories).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

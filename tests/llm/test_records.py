@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pytest
 
 from linework.llm import chat_format, media, warc
 
@@ -48,6 +49,46 @@ def test_loser_tree_merges_as_sorting_does():
             assert list(warc.LoserTree(runs)) == sorted(sum(runs, []))
 
 
+def test_pieces_merge_in_a_stream():
+    """Of runs cut into pieces that come by their first keys; no more pieces are held than there are runs."""
+    for _ in range(80):
+        runs = [sorted((RNG.randrange(200),) for _ in range(RNG.randint(0, 60))) for _ in range(RNG.randint(1, 9))]
+        pieces = sorted((run[at], [(x, k) for x in run[at : at + 7]]) for k, run in enumerate(runs) for at in range(0, len(run), 7))
+        tree = warc.LoserTree()
+        got = list(warc.merged(iter(pieces), tree))
+        assert [x for x, _ in got] == sorted(x for run in runs for x in run)
+        assert tree.most <= len(runs)
+
+
+def test_a_range_far_larger_than_a_task_may_hold(spark):
+    """One range of all captures: the merge holds a piece of each run, a hundredth of them."""
+    rows = [(f"k{RNG.randrange(10**6):06d}", "t", i) for i in range(30_000)]
+    runs = [sorted(rows[k::6]) for k in range(6)]
+    made = [(*run[at], k, at, [(*c, 1, "d", "response", None) for c in run[at : at + 50]]) for k, run in enumerate(runs) for at in range(0, len(run), 50)]
+    pieces = warc.cut(spark.createDataFrame(made, warc.PIECES), "pieces")
+    for ranges in (1, 5):
+        got = [(r.url_key, r.ts, r.page_id) for r in warc.merge_runs(pieces, ranges).collect()]
+        assert got == sorted(rows)
+    tree = warc.LoserTree()
+    first = sorted((r[:3], [(c[:3],) for c in r[5]]) for r in made)
+    assert len(list(warc.merged(iter(first), tree))) == len(rows) and tree.most <= 6
+
+
+def test_a_revisit_needs_its_record(spark):
+    made = [("a", "t", 1, 300, "d", "response", None), ("b", "t", 2, None, "d", "revisit", 1)]
+    schema = "url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    assert {r.payload_bytes for r in warc.resolved(spark.createDataFrame(made, schema)).collect()} == {300}
+    for wrong in (("b", "t", 2, None, "e", "revisit", 1), ("b", "t", 2, None, "d", "revisit", 7)):
+        with pytest.raises(Exception, match="not there"):
+            warc.resolved(spark.createDataFrame([made[0], wrong], schema)).collect()
+
+
+def test_a_very_long_page(spark):
+    long = "<p>word</p>" * 400_000
+    got = {r.page_id: r for r in warc.resolved(warc.capture_histories(pages(spark, [(1, "u", long), (2, "v", long), (3, "w", "x")]))).collect()}
+    assert got[1].payload_bytes == got[2].payload_bytes == len(long) and got[2].refers_to == 1 and got[3].payload_bytes == 1
+
+
 PAGES = [(5, "http://www.B.example/x?q=1", "y" * 200), (3, "https://a.example/", "y" * 200), (9, None, "y" * 200), (9, None, "y" * 200), (3, "https://a.example/", "y" * 200), (1, "http://c.example:80/\r\nX: y", "short"), (2, "http://c.example/é", "short"), (4, "http://[bad", None), (6, "u", ""), (7, "u", "é" * 50), (8, "u", "é" * 50), (None, "u", "z" * 99)]
 
 
@@ -67,6 +108,8 @@ def test_archives_read_back(spark, tmp_path):
         to = first.get(b) if first.get(b) != p else None
         want.append((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if to is not None else "response", to))
     got = warc.capture_histories(pages(spark, PAGES)).collect()
+    assert sorted(map(tuple, (r[:5] for r in warc.resolved(warc.capture_histories(pages(spark, PAGES))).collect())), key=repr) == sorted(want, key=repr)
+    want = [(p, n if kind == "response" else None, *rest) for p, n, *rest in want for kind in rest[1:2]]
     assert sorted(map(tuple, (r[:5] for r in got)), key=repr) == sorted(want, key=repr)
     keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in got]
     assert keys == sorted(keys) and any(r.record_type == "revisit" for r in got)
@@ -98,11 +141,9 @@ def test_altered_copies_are_found(spark):
     assert media.copies(asked, every.where("false")).count() == 0
     of = media.classes(every)
     assert {tuple(r) for r in of.collect()} == {(11, 11), (100, 11)}
-    firsts = every.join(of.where("image_id <> class_id"), "image_id", "left_anti")
-    sizes = of.groupBy("class_id").count().withColumnRenamed("count", "n")
-    by_query = {r.query_id: r for r in media.searched(df.where("vec_id % 100 = 0"), media.copies(asked, firsts), sizes).collect()}
-    assert set(by_query) == queries and (by_query[100].n_copies, by_query[100].class_id, by_query[100].best_id) == (2, 11, 11)
-    assert {by_query[i].n_copies for i in found - {100}} == {1}
+    by_class = {(r.query_id, r.image_id): r for r in media.copies(asked, every, of).collect()}
+    assert {q for q, _ in by_class} == found | {100} and by_class[100, 11].holder == 11
+    assert {(q, c) for q, c in by_class if q != c} == {(100, 11)}
     # tables against comparing all descriptors
     def words(r):
         return np.array([r.d0, r.d1, r.d2, r.d3])
