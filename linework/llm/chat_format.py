@@ -16,7 +16,7 @@ one conversation is one task's work.
 
 Defined cases: a null text or role is empty; turns of equal number come by role, then text, and
 repeated rows are turns of their own; a null conv_id is a conversation of its own; a null turn comes first;
-an empty table gives no conversations but the planted one; other columns are left alone.
+an empty table gives no conversations but the planted one; a very long turn is held whole by one task; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -53,6 +53,18 @@ def render_turn(role: str, text: str, level: int) -> str:
     return f"{head} {text} {ENDS[role]}" if head else f"{ROLE} {role} {ROLE_END} {text} {END}"
 
 
+def unescape(text: str) -> str:
+    """The text that escape() was given: half of the backslashes before a control string are its own."""
+    return MARK.sub(lambda m: "\\" * (len(m[1]) // 2) + m[2], text)
+
+
+def loss_span(role: str, rendered: str) -> tuple[int, int]:
+    """Where in a rendered turn the text lies that counts for the loss, and how long it is: an assistant's text, else nothing."""
+    if role != "assistant":
+        return 0, 0
+    return len(HEADS[role]) + 1, len(rendered) - len(HEADS[role]) - len(ENDS[role]) - 2
+
+
 class Malformed(ValueError):
     pass
 
@@ -125,12 +137,13 @@ class _Conversation:
 
     def add(self, role: str, text: str) -> None:
         out, level = format_turn(role, text)
-        for r, t in parse(out):  # digests are of what is read back
+        for r, t in parse(out if self.turns else START + out):  # digests are of what is read back
             self.digest.update(f"{r}\n{t}\n".encode())
             self.turns += 1
-            if r == "assistant":
-                self.loss += len(t)
-                self.loss_digest.update(t.encode())
+        start, length = loss_span(role, out)
+        under = unescape(out[start : start + length]) if level else out[start : start + length]
+        self.loss += len(under)
+        self.loss_digest.update(under.encode())
         self.chars += len(out)
         self.escaped += level
 
@@ -179,10 +192,10 @@ def formatted(rows: DataFrame) -> DataFrame:
             out, start, length = [], [], []
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s, _ = format_turn(role, text)
-                own = role == "assistant"
+                own = loss_span(role, s)
                 out.append(s)
-                start.append(len(HEADS["assistant"]) + 1 if own else 0)
-                length.append(len(s) - len(HEADS["assistant"]) - len(END) - 2 if own else 0)
+                start.append(own[0])
+                length.append(own[1])
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(out), pa.array(start, pa.int64()), pa.array(length, pa.int64())], names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_length"])
 
     return _sorted(rows).mapInArrow(run, "conv_id long, turn long, role string, formatted string, loss_start long, loss_length long")
