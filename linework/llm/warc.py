@@ -314,7 +314,7 @@ def merge_runs(pieces: DataFrame, ranges: int | None = None) -> DataFrame:
         yield _batch(out, result_fields)
 
     order = ["range", "url_key", "ts", F.col("page_id").asc_nulls_first(), "run", "place"]
-    streams = pieces.select("run", "place", "captures").mapInArrow(split, dealt).repartitionByRange(ranges, "range").sortWithinPartitions(*order)
+    streams = pieces.select("run", "place", "captures").mapInArrow(split, dealt).repartitionById(ranges, F.col("range")).sortWithinPartitions(*order)
     return streams.mapInArrow(run, result)
 
 

@@ -25,6 +25,29 @@ def test_plain_text_is_not_escaped():
     assert chat_format.format_turn("assistant", "</s>")[1] == 1
 
 
+def test_text_under_the_loss_mask():
+    """Cut out of the whole conversation's rendering by the spans of its turns, unescaped, it is what the assistants said."""
+    bits = [*chat_format.MARKS, "\\", "\\\\", " ", "a", "[", "/s>", "é"]
+    for _ in range(2000):
+        turns = [(RNG.choice(["user", "assistant", "tool"]), "".join(RNG.choice(bits) for _ in range(RNG.randint(0, 6)))) for _ in range(4)]
+        whole, at, said = chat_format.format_conversation(turns), len(chat_format.START), []
+        for role, text in turns:
+            out, level = chat_format.format_turn(role, text)
+            start, length = chat_format.loss_span(role, out)
+            assert whole[at : at + len(out)] == out
+            cut = whole[at + start : at + start + length]
+            said.append(chat_format.unescape(cut) if level else cut)
+            at += len(out)
+        assert at == len(whole) and "".join(said) == "".join(t for r, t in turns if r == "assistant")
+        assert chat_format.parse(whole) == turns
+
+
+def test_a_very_long_turn(spark):
+    long = "</s> word " * 200_000
+    got = chat_format.digests(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")).first()
+    assert got.loss_chars == len(long) and got.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "yo</s>"), (2, None, None, "\\"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, 5, "system", "")]
     df = spark.createDataFrame([(*r, 1, "t") for r in rows], "conv_id long, turn long, role string, text string, formatted int, escaped string")

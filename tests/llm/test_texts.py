@@ -450,6 +450,56 @@ def test_classifiers_on_the_held_out_fold(spark, docs_of, odd_pairs, module, lab
     assert module.score(docs_of([]), model).count() == 0
 
 
+def test_discriminant_against_densities_written_out():
+    """The score of each row by slogdet and solve of the shrunk covariances, and the logistic map of the difference."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(90, 5)) @ rng.normal(size=(5, 5)) + 1, rng.normal(size=(30, 5)) @ rng.normal(size=(5, 5))])
+    y = np.r_[np.ones(90), np.zeros(30)]
+    model = quality.Discriminant(x, y)
+    pooled = np.diag(x.var(0) + 1e-6)
+    z = rng.normal(size=(40, 5)) * 3
+    log_density = []
+    for c in (0, 1):
+        own = x[y == c]
+        s = max(quality.SHRINKAGE, 5 / (5 + len(own)))
+        cov = (1 - s) * np.cov(own.T, bias=True) + s * pooled
+        log_density.append([-0.5 * (v - own.mean(0)) @ np.linalg.solve(cov, v - own.mean(0)) - 0.5 * np.linalg.slogdet(cov)[1] for v in z])
+    apart = np.arcsinh(np.array(log_density[1]) - np.array(log_density[0]))
+    assert np.allclose(model.difference(z), apart)
+    assert np.allclose(model.score(z), 1 / (1 + np.exp(-(apart * model.weights[0] + model.weights[1]))))
+
+
+def test_compression_distances_window_by_window(spark, docs_of):
+    """Scores made anew: each window compressed by itself with new dictionaries, log odds by cell, and the logistic map."""
+    pairs, labels = corpus()
+    model = toxicity.fit(docs_of(pairs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model.dictionaries) == toxicity.PARTS and all(t and o for t, o in model.dictionaries)
+
+    def length(window, best_first, size):
+        content, used = [], 0
+        for w in best_first:
+            if used + len(w) + 1 > size:
+                break
+            content, used = [*content, w], used + len(w) + 1
+        made = zstandard.ZstdCompressionDict(b" " + b" ".join(content[::-1]) + b" " + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=3)
+        return len(zstandard.ZstdCompressor(dict_data=made, compression_params=settings).compress(b" " + window + b" " + toxicity.CARRIER))
+
+    for _, text in pairs[:6] + pairs[-6:]:
+        odds = []
+        for w in {x.strip(toxicity.STRIP) for x in {*words(text.encode())}}:
+            if len(w) > 2:
+                apart = [length(w, o, toxicity.ORDINARY_BYTES) - length(w, t, toxicity.TOXIC_BYTES) for t, o in model.dictionaries]
+                cells = [(min(len(w), toxicity.LONGEST), max(toxicity.LEAST_DIFFERENCE, min(d, toxicity.MOST_DIFFERENCE))) for d in apart]
+                odds.append((w, sum(model.odds.get(c, 0.0) for c in cells) / len(cells)))
+        # a window counts once for each distinct word that it is of
+        by_word = [dict(odds)[s] for x in {*words(text.encode())} if len(s := x.strip(toxicity.STRIP)) > 2]
+        top = sorted((v for v in by_word if v > 0.5), reverse=True)
+        x = np.array([top[0] if top else 0.0, sum(top[:3]), sum(v - 1 for v in top if v > 1), math.log1p(len(words(text.encode())))])
+        want = 1 / (1 + math.exp(-(((x - model.mean) / model.spread) @ model.weights[:-1] + model.weights[-1])))
+        assert abs(model.scorer().score([text.encode()])[0] - want) < 1e-9
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_without_labels(spark, docs_of, module):
     table = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
