@@ -6,7 +6,7 @@ captures sorted by URL key and timestamp. Archives lie as rows of a table in the
 reading need nothing but Spark's own file access.
 
 Reading parses the records of each block in the order of its run and writes the runs, in pieces of PIECE captures, as a
-table. Ranges of (URL key, timestamp, page) are cut at places drawn from the pieces' first captures, and pieces that lie across a
+table. Ranges of (URL key, timestamp, page) are cut at places drawn from a sample of the captures, and pieces that lie across a
 cut are split there. In each range Spark sorts the pieces, by which it can spill, by their first captures; this is the
 order in which a merge needs them (forecasting: Knuth, The Art of Computer Programming 3, 5.4.9). So the merge reads a stream:
 a loser tree holds the heads of the runs whose pieces have begun, at most one piece for each run, and when its least capture
@@ -267,10 +267,11 @@ def _key(c: dict) -> tuple:
 
 
 def _cuts(pieces: DataFrame, ranges: int) -> list[tuple]:
-    """At most ranges - 1 keys that cut the pieces into about equal parts, from a sample of their first captures that is bounded by the
+    """At most ranges - 1 keys that cut the captures into about equal parts, from a sample of all captures that is bounded by the
     number of ranges."""
-    n = pieces.count()
-    some = pieces.where(F.pmod(F.xxhash64("run", "place"), F.lit(max(1, n))) < 40 * ranges).select("url_key", "ts", "page_id").limit(80 * ranges).collect()
+    n = pieces.agg(F.sum(F.size("captures"))).first()[0] or 1
+    keys = pieces.select("run", "place", F.posexplode(F.transform("captures", lambda c: F.struct(c["url_key"].alias("url_key"), c["ts"].alias("ts"), c["page_id"].alias("page_id")))).alias("k", "c"))
+    some = keys.where(F.pmod(F.xxhash64("run", "place", "k"), F.lit(n)) < 40 * ranges).select("c.*").limit(80 * ranges).collect()
     keys = sorted({_key(r.asDict()) for r in some})
     return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if len(keys) > ranges else keys[1:]
 
