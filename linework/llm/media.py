@@ -12,7 +12,7 @@ The tables here hold no media files, so op7 renders each embedding to a raster,
 queries turned, all of them cropped, brightened and with a patch drawn over them.
 
 Defined cases: a null or empty raster, or one smaller than the least size, has no corners and matches nothing; repeated
-rows match each other as copies; null entries of an embedding count as 0; an empty table gives no rows; other columns are left alone.
+rows match each other as copies; a very large raster is one row, held whole by one task; null entries of an embedding count as 0; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
