@@ -19,7 +19,7 @@ OK, FAILED, UNSUPPORTED, TOO_LARGE, NO_MODEL, BAD_CHECKSUM, UNAVAILABLE, STRICT
 BAD_ARGUMENTS = NOT_FOUND = FAILED
 CODES = {"unsupported_image": UNSUPPORTED, "image_too_large": TOO_LARGE, "ModelMissing": NO_MODEL, "ChecksumError": BAD_CHECKSUM, "EngineUnavailable": UNAVAILABLE}
 #: Styles that newer ones have replaced; they work, but are listed on request only.
-EXPERIMENTAL = ("adaptive", "canny", "xdog", "cartoon", "chained", "skeleton")
+EXPERIMENTAL = ("adaptive", "canny", "cartoon", "chained", "lineart", "skeleton", "xdog")
 
 
 def parser(argv: list[str] | None = None) -> argparse.ArgumentParser:

@@ -106,6 +106,58 @@ def test_command_line(folder, tmp_path, spark):
     assert cli.main([folder + "/a.png", str(tmp_path / "t.svg"), "--style", "canny", "--strict", "--dpi", "40"]) == cli.STRICT and not os.path.exists(tmp_path / "t.svg")
 
 
+def test_exit_codes_and_flags(folder, tmp_path, spark, capsys):
+    assert (cli.UNSUPPORTED, cli.TOO_LARGE, cli.NO_MODEL, cli.BAD_CHECKSUM, cli.UNAVAILABLE, cli.STRICT) == (2, 3, 4, 5, 6, 7)
+    page, out = ["--page-size", "A5", "--dpi", "40", "--style", "canny"], str(tmp_path / "d.svg")
+    assert cli.main([folder + "/a.png", out, *page, "--device", "cpu", "--jobs", "2", "--thickness", "3", "--verbose", "--debug-dir", str(tmp_path / "debug")]) == cli.OK
+    assert os.path.isdir(tmp_path / "debug" / "a")
+    with pytest.raises(SystemExit):
+        cli.main(["--help"])
+    assert "canny" not in capsys.readouterr().out.split("--show-experimental")[1].split("--detail")[0]
+
+
+def test_profiles_of_all_fields():
+    p = engine.Profile(style="canny", device="cuda", debug_dir="x")
+    assert engine.Profile.from_json(p.to_json()) == p
+    assert engine.Profile.from_json('{"device": "cpu", "debug_dir": null, "seed": null}').device == "cpu"
+    with pytest.raises(ValueError):
+        engine.Profile.from_json('{"device": "none"}')
+
+
+def test_no_row_is_lost(spark):
+    rows = [("a", None, None, None, None, None), ("b", 4, 4, None, bytearray(16), None), ("c", 3, 3, 1, None, None), ("d", 0, 4, 1, bytearray(), None), ("e", 2, 2, 1, bytearray(4), "unsupported_image"), ("f", 9000, 9000, 1, bytearray(4), None)]
+    df = spark.createDataFrame(rows, "image_id string, height int, width int, n_channels int, data binary, error_class string")
+    got = {r.image_id: r.error_class for r in engine.convert(df, engine.Profile(page=PAGE, style="canny")).collect()}
+    assert got == dict.fromkeys("abcde", "unsupported_image") | {"f": "image_too_large"}
+
+
+def test_seeds_by_image():
+    assert engine.seed_of(0, "a") != engine.seed_of(0, "b") and engine.seed_of(0, "a") == engine.seed_of(0, "a") != engine.seed_of(1, "a") and engine.seed_of(5, "") == 5
+
+
+def test_two_small_regions_that_choose_each_other(spark):
+    """Labels 1 and 2 are nearest to each other: both take 1, then the large neighbour."""
+    rows = [("i", 0, x, v, label) for x, (v, label) in enumerate([(0, 0)] * 6 + [(100, 1), (110, 2)] + [(250, 3)] * 6)]
+    df = spark.createDataFrame(rows, "image_id string, y int, x int, v int, label int")
+    assert {r.label for r in raster.merge_small_regions(df, "v", 2).collect()} == {0, 1, 3}
+    assert {r.label for r in raster.merge_small_regions(df, "v", 3).collect()} == {0, 3}
+
+
+def test_a_line_that_passes_beside_an_end(spark):
+    """The long segment has no vertex near the end."""
+    rows = [("i", 1, 0, 5.0, 5.0, False), ("i", 1, 1, 5.0, 9.0, False), ("i", 2, 0, 0.0, 4.6, False), ("i", 2, 1, 10.0, 4.6, False)]
+    df = spark.createDataFrame([(*r, "detail") for r in rows], "image_id string, path_id int, i int, x double, y double, closed boolean, kind string")
+    assert {(r.path_id, r.i) for r in vector.isolated_endpoints(df, 1.0).collect()} == {(1, 1), (2, 0), (2, 1)}
+
+
+def test_sizes_that_networks_see():
+    assert engine.styles.by_short_side(300, 500, 512) == (512, 832, 512, 832)
+    assert engine.styles.by_long_side(300, 500, 512) == (512, 512, 307, 512)
+    seen = []
+    engine.styles.anime2sketch(photo(), lambda rgb: (seen.append(rgb.shape), rgb[..., 0])[1])
+    assert seen[0][0] % 256 == 0 and seen[0][1] % 256 == 0
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "frames")
     images.from_arrays(spark, {"a": photo(), "b": photo()}).write.parquet(source)
