@@ -46,11 +46,11 @@ def batch_status(spark, d):
     return op.batch_summary(status)
 
 
-@query(f"""WITH {POINTS_SQL}, m AS (SELECT image_id, path_id, count(*) AS regions, any_value(CASE WHEN path_id % 5 = 0 THEN 2 ELSE 0 END) AS dangling, avg((y < 0.08::DOUBLE)::INT) AS ink FROM points GROUP BY 1, 2)
+@query(f"""WITH {POINTS_SQL}, m AS (SELECT image_id, path_id, count(*) AS regions, any_value(CASE WHEN path_id % 5 = 0 THEN 2 ELSE 0 END) AS dangling, avg((y < 0.005::DOUBLE)::INT) AS ink FROM points GROUP BY 1, 2)
   SELECT image_id, path_id, ink BETWEEN 0.03 AND 0.08 AND dangling = 0 AND regions BETWEEN 40 AND 400 AS ok, regions FROM m""")
 def decide_pass_fail(spark, d):
     """Each path as a drawing: its points are the regions, low ones the ink, and every fifth has loose ends."""
-    m = points(spark, d).groupBy("image_id", "path_id").agg(F.count("*").alias("regions"), F.avg((F.col("y") < 0.08).cast("int")).alias("ink"))
+    m = points(spark, d).groupBy("image_id", "path_id").agg(F.count("*").alias("regions"), F.avg((F.col("y") < 0.005).cast("int")).alias("ink"))
     dangling = F.when(F.col("path_id") % 5 == 0, 2).otherwise(0)
     return m.select("image_id", "path_id", op.decision(F.col("ink"), dangling, F.col("regions")).alias("ok"), "regions")
 

@@ -55,3 +55,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name,column", [("decide_pass_fail", "ok"), ("quality_gate_bright", "passed")])
+def test_gates_have_both_outcomes(spark, sf_dir, name, column):
+    assert {r[0] for r in registry.queries()[name](spark, sf_dir).select(column).distinct().collect()} == {True, False}
