@@ -13,6 +13,7 @@ from ..operators import raster as rop
 from ..sources.derived import RASTER_SQL, color_raster, label_map, raster
 from ..sources.images import from_pixels, to_pixels
 from . import compare, engine
+from .recursive_sql import parts, stairless, thinned, walked
 
 QUERIES = {}
 
@@ -149,24 +150,40 @@ def traced_paths(spark, d):
     return each_image(_images(spark, d), "image_id string, path_id long, n_points long, n_simplified long, closed boolean, length double", f)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER_SQL}, {parts("part", "SELECT image_id, y, x FROM raster WHERE v < 128")},
+  size AS (SELECT image_id, root, greatest(max(y) - min(y), max(x) - min(x)) + 1 AS extent, count(*) AS n FROM part WHERE NOT moving GROUP BY 1, 2),
+  m AS (SELECT image_id, count(*) AS c, median(extent)::DOUBLE AS e, sum(n) FILTER (extent < 4) / sum(n)::DOUBLE AS noise FROM size GROUP BY 1)
+  SELECT r.image_id::VARCHAR AS image_id, round(avg((v < 128)::INT), 6) AS ink_coverage, coalesce(any_value(c), 0) AS component_count, coalesce(any_value(e), 0)::DOUBLE AS median_stroke_length, round(coalesce(any_value(noise), 0), 6) AS noise_fraction FROM raster r LEFT JOIN m USING (image_id) GROUP BY r.image_id""")
 def line_metrics(spark, d):
     """Ink share, components, median extent, noise share."""
 
     def f(i, a):
         m = gate.line_metrics(a)
-        return [(i, m["ink_coverage"], m["component_count"], m["median_stroke_length"], m["noise_fraction"])]
+        return [(i, round(m["ink_coverage"], 6), m["component_count"], m["median_stroke_length"], round(m["noise_fraction"], 6))]
 
     return each_image(_images(spark, d), "image_id string, ink_coverage double, component_count long, median_stroke_length double, noise_fraction double", f)
 
 
-@query()
+def _thin_within(a: str, b: str) -> str:
+    """The share of an image's pixels of ``a`` with one of ``b`` within two pixels."""
+    return f"(SELECT image_id, avg((EXISTS (SELECT 1 FROM {b} q WHERE q.image_id = p.image_id AND (q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x) <= 4))::INT) AS s FROM {a} p GROUP BY 1)"
+
+
+_F1 = lambda p, r: f"CASE WHEN coalesce({p}, 0) + coalesce({r}, 0) > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE {RASTER_SQL}, {thinned("ta", "SELECT image_id, y, x FROM raster WHERE v < 60")}, {thinned("tb", "SELECT image_id, y, 63 - x AS x FROM raster WHERE v < 60")}, {thinned("tc", "SELECT image_id, y, x FROM raster")},
+  a AS (SELECT image_id, y, x FROM ta WHERE idle = 2), b AS (SELECT image_id, y, x FROM tb WHERE idle = 2), c AS (SELECT image_id, y, x FROM tc WHERE idle = 2),
+  ink AS (SELECT image_id, avg((v < 60)::INT) AS ink FROM raster GROUP BY 1),
+  scores AS (SELECT ink.image_id, ink, coalesce(p.s, 0) AS p, coalesce(r.s, 0) AS r, {_F1("p.s", "r.s")} AS f, {_F1("cp.s", "cr.s")} AS floor_
+    FROM ink LEFT JOIN {_thin_within("a", "b")} p USING (image_id) LEFT JOIN {_thin_within("b", "a")} r USING (image_id) LEFT JOIN {_thin_within("c", "b")} cp USING (image_id) LEFT JOIN {_thin_within("b", "c")} cr USING (image_id))
+  SELECT image_id::VARCHAR AS image_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1, round(CASE WHEN floor_ >= 1 THEN 0 ELSE greatest(0, least(1, (f - floor_) / (1 - floor_))) END, 6) AS f1_normalized, ink BETWEEN 0.03 AND 0.07 AS ink_admissible FROM scores""")
 def boundary_scores(spark, d):
     """Each image against its mirror image."""
 
     def f(i, a):
         m = gate.compare_boundaries(a, a[:, ::-1], 2, 60)
-        return [(i, m["precision"], m["recall"], m["f1"], m["f1_normalized"], m["ink_admissible"])]
+        return [(i, *(round(m[k], 6) for k in ("precision", "recall", "f1", "f1_normalized")), m["ink_admissible"])]
 
     return each_image(_images(spark, d), 'image_id string, precision double, recall double, f1 double, f1_normalized double, ink_admissible boolean', f)
 
@@ -195,7 +212,14 @@ def smoothing(spark, d):
     return each_image(_images(spark, d), "image_id string, gaussian double, bilateral double, l0 double, rolling double, mean_shift double", f)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER_SQL}, {thinned("thin", "SELECT image_id, y, x FROM raster WHERE v < 80")}, {stairless("bare", "SELECT image_id, y, x FROM thin WHERE idle = 2")},
+  lean AS (SELECT image_id, y, x FROM bare WHERE idle = 4),
+  count_ AS (SELECT a.image_id, a.y, a.x, count(*) - 1 AS n FROM lean a JOIN lean b ON b.image_id = a.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3),
+  {parts("line", "SELECT * FROM lean")}, {parts("hub", "SELECT image_id, y, x FROM count_ WHERE n >= 3")},
+  lines AS (SELECT image_id, count(DISTINCT root) AS lines FROM line WHERE NOT moving GROUP BY 1), hubs AS (SELECT image_id, count(DISTINCT root) AS hubs FROM hub WHERE NOT moving GROUP BY 1),
+  counts AS (SELECT image_id, count(*) AS pixels, count(*) FILTER (n = 1) AS endpoints, count(*) FILTER (n >= 3) AS junctions FROM count_ GROUP BY 1)
+  SELECT image_id::VARCHAR AS image_id, coalesce(pixels, 0) AS pixels, coalesce(endpoints, 0) AS endpoints, coalesce(junctions, 0) AS junctions, coalesce(hubs, 0) AS hubs, coalesce(lines, 0) AS lines
+  FROM (SELECT DISTINCT image_id FROM raster) LEFT JOIN counts USING (image_id) LEFT JOIN hubs USING (image_id) LEFT JOIN lines USING (image_id)""")
 def skeleton_metrics(spark, d):
     """Counts of the skeleton's pixels, ends and junctions."""
 
@@ -205,7 +229,8 @@ def skeleton_metrics(spark, d):
     return each_image(_images(spark, d), "image_id string, pixels long, endpoints long, junctions long, hubs long, lines long", f)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER_SQL}, {parts("part", "SELECT * FROM raster", "v // 64", four=True)}
+  SELECT image_id::VARCHAR AS image_id, kind::INT AS label, count(*) AS n_parts, sum(n)::BIGINT AS area, max(n) AS largest FROM (SELECT image_id, kind, root, count(*) AS n FROM part WHERE NOT moving GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def spatial_region_areas(spark, d):
     """Connected parts of each brightness band."""
 
@@ -218,12 +243,14 @@ def spatial_region_areas(spark, d):
     return each_image(_images(spark, d), "image_id string, label int, n_parts long, area long, largest long", f)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER_SQL}, ink AS (SELECT image_id, y, x FROM raster WHERE v < 100), {parts("part", "SELECT * FROM ink")},
+  starts AS (SELECT DISTINCT image_id, root FROM part WHERE NOT moving), {walked("walk", "ink", "starts")}
+  SELECT image_id::VARCHAR AS image_id, row_number() OVER (PARTITION BY image_id ORDER BY root) - 1 AS contour_id, greatest(max(n), 1) AS n_points, round(max(length), 6) AS length FROM walk GROUP BY image_id, root""")
 def outer_contours(spark, d):
     """Outer borders of the dark components."""
 
     def f(i, a):
-        for n, c in enumerate(kernels.contours(a < 40)):
+        for n, c in enumerate(kernels.contours(a < 100)):
             yield i, n, len(c), round(kernels.path_length(c, True), 6)
 
     return each_image(_images(spark, d), "image_id string, contour_id long, n_points long, length double", f)

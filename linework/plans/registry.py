@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("raster_queries", "vector_queries", "report_queries", "kernel_queries")
+MODULES = ("raster_queries", "vector_queries", "report_queries", "kernel_queries", "filter_queries")
 
 
 def _all() -> dict:
