@@ -39,6 +39,8 @@ log = logging.getLogger(__name__)
 IDF_LOW, IDF_HIGH = 1.6, 7.6
 #: Terms of the lexicon at most: 64 MB as they are broadcast.
 LEXICON_MOST = 8_000_000
+#: Bytes of texts that a task works on at once, a single longer text aside.
+HELD = 2_000_000
 #: Shares of the lexicon that subsets keep, and how many are drawn for each; the first subset is the whole.
 KEEP = ((0.9, 5), (0.7, 5), (0.5, 5), (1 / 16, 6), (1 / 64, 14), (1 / 256, 14), (1 / 1024, 14))
 SUBSETS = np.array([1.0, *(share for share, n in KEEP for _ in range(n))])
@@ -67,9 +69,9 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             for raw in text_bytes(batch):
                 held.append(terms(raw))
                 size += len(held[-1])
-            if size > 4_000_000:
-                yield out()
-                held, size = [], 0
+                if size > 4_000_000:
+                    yield out()
+                    held, size = [], 0
         if held:
             yield out()
 
@@ -209,17 +211,21 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         made, part, opener = Fingerprints(shared.value), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
-        before = None
+        before, out, pairs, size = None, [], [], 0
         for batch in batches:
-            out, pairs = [], []
-            for doc_id, shut_text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, shut_text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                doc_id, shut_text = doc_id.as_py(), shut_text.as_py()
                 raw = opener.decompress(shut_text)
                 own, text = made.of(raw), raw.decode()
                 if before is None:
                     out.append((doc_id, *[None] * 6, part, "first", shut_text))
                 else:
                     pairs.append((*before[:3], text, own))
-                before = (doc_id, text, own, shut_text)
+                before, size = (doc_id, text, own, shut_text), size + len(raw)
+                if size > HELD or len(pairs) >= 256:
+                    yield _batch(out + [(*r, part, None, None) for r in _rows(made, pairs)], OPEN)
+                    out, pairs, size = [], [], 0
+        if out or pairs:
             yield _batch(out + [(*r, part, None, None) for r in _rows(made, pairs)], OPEN)
         if before is not None:
             yield _batch([(before[0], *[None] * 6, part, "last", before[3])], OPEN)
@@ -235,12 +241,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     def close(batches):
         made, opener = Fingerprints(shared.value), zstandard.ZstdDecompressor()
         for batch in batches:
-            pairs = []
-            for i, *both in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "following")), strict=True):
-                t, f = map(opener.decompress, both)
-                pairs.append((i, t.decode(), made.of(t), f.decode(), made.of(f)))
-            if pairs:
-                yield _batch(_rows(made, pairs), COLUMNS)
+            for i, *both in zip(*(batch.column(k) for k in ("doc_id", "text", "following")), strict=True):
+                t, f = (opener.decompress(x.as_py()) for x in both)
+                yield _batch(_rows(made, [(i.as_py(), t.decode(), made.of(t), f.decode(), made.of(f))]), COLUMNS)
 
     closed = pairs.select("doc_id", "text", "following").mapInArrow(close, COLUMNS)
     whole = rows.where("place is null").select([x.split()[0] for x in COLUMNS.split(", ")]).unionByName(closed)
