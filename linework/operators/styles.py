@@ -94,7 +94,7 @@ def cartoon(image: np.ndarray, radius: int = 25, color: float = 48, shortest: in
     """Edges of a mean-shift image. Mean shift runs on half the size, as with one level of a pyramid."""
     h, w = image.shape[:2]
     small = k.resize(image, max(1, h // 2), max(1, w // 2))
-    flat = k.resize(k.mean_shift(small, max(1, min(radius // 2, 6)), color), h, w)
+    flat = k.resize(k.mean_shift(small, max(1, radius // 2), color), h, w)
     gray = k.to_gray(np.clip(np.rint(flat), 0, 255).astype(np.uint8)).astype(int)
     cross = [k.shifted(gray, dy, dx, -1) for dy, dx in k.FOUR] + [gray]
     inside = [np.where(a < 0, gray, a) for a in cross]
@@ -217,6 +217,8 @@ def region(image: np.ndarray, segmentation: str = "mean_shift", detection: str =
         labels = color_labels(np.rint(k.mean_shift(flat, kernel_size(long, 0.01, 5, odd=False), color)).astype(np.uint8))
     elif segmentation == "slic":
         labels = k.slic(lab, superpixels)
+    elif segmentation == "seeds":
+        labels = k.seeds(flat, superpixels)
     else:
         raise ValueError(f"unknown segmentation {segmentation!r}")
     if detection == "labels":

@@ -307,3 +307,33 @@ def test_meaningful_chains():
     m[30, 5:55] = 100
     strong, weak = np.c_[np.arange(5, 55), np.full(50, 30)], np.c_[np.arange(5, 55), np.full(50, 10)]
     assert [c[0, 1] for c in styles.meaningful([strong, weak], m)] == [30]
+
+
+def test_seeds_follow_an_edge_and_stay_whole():
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[0:60, 0:80]
+    disc = (y - 31) ** 2 + (x - 37) ** 2 < 19**2
+    image = np.where(disc[..., None], [30, 60, 200], [220, 180, 40]) + rng.integers(-8, 9, (60, 80, 3))
+    labels = k.seeds(image.astype(np.uint8), 48)
+    n = len(np.unique(labels))
+    assert n == labels.max() + 1 and 24 <= n <= 80  # none has vanished
+    inside = np.bincount(labels.ravel(), disc.ravel().astype(float))
+    size = np.bincount(labels.ravel())
+    assert np.minimum(inside, size - inside).sum() < 0.01 * labels.size  # the grid alone errs on 4.6 %
+    assert all(k.components(labels == i, 4)[1] == 1 for i in range(n))
+    assert np.array_equal(labels, k.seeds(image.astype(np.uint8), 48))
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (7, 3), (40, 40)])
+def test_seeds_of_flat_and_tiny_images_keep_the_grid(shape):
+    labels = k.seeds(np.full((*shape, 3), 90, np.uint8), 9)
+    assert labels.shape == shape and labels.min() == 0
+
+
+def test_region_takes_superpixels():
+    image = np.full((60, 60, 3), 240, np.uint8)
+    image[15:45, 15:45] = (20, 90, 30)
+    for how in ("seeds", "slic"):
+        assert styles.region(image, segmentation=how, detection="labels", superpixels=36).paths
+    with pytest.raises(ValueError):
+        styles.region(image, segmentation="other")
