@@ -159,20 +159,33 @@ def normalized_f1(f1: Column, floor: Column) -> Column:
 
 def hausdorff_near(points: DataFrame, threshold: float) -> DataFrame:
     """(image_id, boundary_id, detail_id) of the paths of the two kinds whose Hausdorff distance is below the threshold:
-    each point of either has one of the other nearer than that. Points meet by cells of the threshold's size and
-    the eight about them, so far points are never paired."""
-    cell = {"cx": F.floor(F.col("x") / threshold), "cy": F.floor(F.col("y") / threshold)}
-    side = lambda kind, name: points.where(F.col("kind") == kind).withColumns(cell).select("image_id", "cx", "cy", F.col("path_id").alias(f"{name}_id"), F.col("i").alias(f"{name}_i"), F.col("x").alias(f"{name}_x"), F.col("y").alias(f"{name}_y"))
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    detail = side("detail", "detail").withColumn("o", around).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
-    met = side("boundary", "boundary").join(detail, ["image_id", "cx", "cy"])
-    met = met.where((F.col("boundary_x") - F.col("detail_x")) ** 2 + (F.col("boundary_y") - F.col("detail_y")) ** 2 < threshold * threshold)
+    each point of either has one of the other nearer than that. No side of the paths' boxes may then lie further apart, which
+    leaves few pairs; of these the boundary's points are looked at, and the detail's only where all of those are near one."""
     ids = ["image_id", "boundary_id", "detail_id"]
-    covered = met.groupBy(*ids).agg(F.count_distinct("boundary_i").alias("b"), F.count_distinct("detail_i").alias("d"))
-    sizes = points.groupBy(*PATH).agg(F.count("*").alias("n"))
-    covered = covered.join(sizes.select("image_id", F.col("path_id").alias("boundary_id"), F.col("n").alias("nb")), ["image_id", "boundary_id"])
-    covered = covered.join(sizes.select("image_id", F.col("path_id").alias("detail_id"), F.col("n").alias("nd")), ["image_id", "detail_id"])
-    return covered.where("b = nb and d = nd").select(*ids)
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    cells = {"cx": F.floor(F.col("x") / threshold), "cy": F.floor(F.col("y") / threshold)}
+    spread = lambda df: df.withColumn("o", around).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
+
+    sides = {"x": F.min("x"), "y": F.min("y"), "x1": F.max("x"), "y1": F.max("y"), "n": F.count("*")}
+    boxes_ = points.groupBy(*PATH, "kind").agg(*(f.alias(n) for n, f in sides.items())).withColumns(cells)
+    box = lambda kind: boxes_.where(F.col("kind") == kind).select("image_id", "cx", "cy", F.col("path_id").alias(f"{kind}_id"), *(F.col(n).alias(f"{kind}_{n}") for n in sides))
+    pairs = box("boundary").join(spread(box("detail")), ["image_id", "cx", "cy"])
+    for n in ("x", "y", "x1", "y1"):
+        pairs = pairs.where(F.abs(F.col(f"boundary_{n}") - F.col(f"detail_{n}")) < threshold)
+
+    def covered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+        """The pairs in which every point of the first path has one of the second near."""
+        of = lambda kind: points.where(F.col("kind") == kind).select("image_id", F.col("path_id").alias(f"{kind}_id"), F.col("i").alias(f"{kind}_i"), F.col("x").alias(f"{kind}_px"), F.col("y").alias(f"{kind}_py"), *(v.alias(k) for k, v in cells.items()))
+        own = pairs.join(of(one), ["image_id", f"{one}_id"])
+        its = spread(pairs.select(*ids).join(of(other), ["image_id", f"{other}_id"]))
+        apart = (F.col(f"{one}_px") - F.col(f"{other}_px")) ** 2 + (F.col(f"{one}_py") - F.col(f"{other}_py")) ** 2
+        met = own.join(its, [*ids, "cx", "cy"]).where(apart < threshold * threshold)
+        kept = [c for c in pairs.columns if c not in ids]
+        points_met = met.groupBy(*ids, f"{one}_i").agg(*(F.first(c).alias(c) for c in kept))
+        return points_met.groupBy(*ids).agg(F.count("*").alias("_met"), *(F.first(c).alias(c) for c in kept)).where(F.col("_met") == F.col(f"{one}_n")).drop("_met")
+
+    pairs = pairs.select(*ids, "boundary_n", "detail_n")
+    return covered(covered(pairs, "boundary", "detail"), "detail", "boundary").select(*ids)
 
 
 def hausdorff_dedup(points: DataFrame, threshold: float) -> DataFrame:
