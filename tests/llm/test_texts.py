@@ -287,6 +287,27 @@ def test_a_large_family_takes_linear_work(spark, monkeypatch, pivots):
     assert sum(compared) < 40 * n  # rows in groups of at most SMALL or BLOCK
 
 
+def test_a_small_region_gives_one_partner_of_a_row(spark, docs_of, monkeypatch):
+    """Sixty near copies have 1770 pairs in each region that they share; the first comparison gives rows, not pairs."""
+    made = {}
+    cut = jaccard_join.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 0)
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    base = [f"v{i}" for i in range(120)]
+    got = rows(jaccard_join.jaccard_groups(docs_of([(i, " ".join([*base, f"a{i}"])) for i in range(60)])))
+    assert {r[2] for r in got} == {0}
+    assert 59 <= made["passed"] <= 2 * 60
+    key = np.array([5, 3, 9, 7])
+    hi, lo, many = jaccard_join.one_partner(iter([(np.array([0, 1, 2]), np.array([1, 2, 3])), (np.array([0, 1]), np.array([2, 3]))]), key, 0)
+    assert dict(zip(key[hi].tolist(), key[lo].tolist(), strict=True)) == {5: 3, 9: 3, 7: 3} and many.tolist() == [1, 0, 3, 1]
+
+
 def test_a_set_that_only_rows_without_an_id_have_links(docs_of):
     base = [f"w{i}" for i in range(100)]
     texts_ = [base, base[:-4] + ["x", "y", "z", "q"], base[4:-4] + ["x", "y", "z", "q", "r", "s"]]
