@@ -337,3 +337,22 @@ def test_region_takes_superpixels():
         assert styles.region(image, segmentation=how, detection="labels", superpixels=36).paths
     with pytest.raises(ValueError):
         styles.region(image, segmentation="other")
+
+
+def test_a_narrow_image_meets_a_network_in_strips(monkeypatch):
+    """A long, narrow image has its shorter side at the network's resolution; the network never sees all of that at once."""
+    monkeypatch.setattr(styles, "STRIP_PIXELS", 20_000, raising=False)
+    seen = []
+
+    def model(rgb):
+        seen.append(rgb.shape[0] * rgb.shape[1])
+        return 255 - k.to_gray(rgb[..., ::-1])
+
+    for shape in ((300, 7), (7, 300)):
+        image = np.random.default_rng(3).integers(0, 256, (*shape, 3), dtype=np.uint8)
+        grown = np.clip(np.rint(k.resize(image[..., ::-1], *styles.by_short_side(*shape, 128)[:2])), 0, 255).astype(np.uint8)
+        want = np.clip(np.rint(k.resize(model(grown).astype(float), *shape)), 0, 255).astype(int)
+        seen.clear()
+        got = styles._response(image, model, 128)
+        assert got.shape == shape and np.abs(got - want).max() <= 1 and (got != want).mean() < 0.01
+        assert max(seen) < 40_000 < grown.shape[0] * grown.shape[1]
