@@ -356,3 +356,11 @@ def test_a_narrow_image_meets_a_network_in_strips(monkeypatch):
         got = styles._response(image, model, 128)
         assert got.shape == shape and np.abs(got - want).max() <= 1 and (got != want).mean() < 0.01
         assert max(seen) < 40_000 < grown.shape[0] * grown.shape[1]
+
+
+def test_a_raster_of_a_narrow_image_is_made_in_strips(monkeypatch):
+    monkeypatch.setattr(styles, "STRIP_PIXELS", 20_000, raising=False)
+    image = np.random.default_rng(4).integers(0, 256, (300, 7, 3), dtype=np.uint8)
+    seen = []
+    art = styles.lineart_raster(image, lambda rgb: (seen.append(rgb.size // 3), 255 - k.to_gray(rgb[..., ::-1]))[1], 128)
+    assert art.image.shape == (300, 7) and len(seen) > 1 and max(seen) < 40_000
